@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.history import find_repeats
+from foliospark.llm.mixing import mix_pages
+from foliospark.llm.packing import pack_documents
+from foliospark.llm.tokens import token_sizes
 from foliospark.runtime import read_table
 
 
@@ -13,5 +16,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_repeats(read_table(spark, sf_dir, "uploads"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in containers, for every limit."""
+    return pack_documents(token_sizes(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "pack_limits"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = token_sizes(read_table(spark, sf_dir, "documents"), keep=("source",))
+    return mix_pages(sizes, read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every mix."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual shares and shortfalls of every mix."""
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {"p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 ORACLE_SQL: dict[str, str] = {}
