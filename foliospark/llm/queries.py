@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.history import find_repeats
 from foliospark.llm.mixing import mix_pages
 from foliospark.llm.packing import pack_documents
+from foliospark.llm.quality import classify, text_statistics
 from foliospark.llm.tokens import token_sizes
 from foliospark.runtime import read_table
 
@@ -36,5 +37,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of every page."""
+    return text_statistics(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are not prose."""
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words")).where("kind != 'prose'").select("doc_id")
+
+
+QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 ORACLE_SQL: dict[str, str] = {}
