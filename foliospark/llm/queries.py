@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.history import find_repeats
 from foliospark.llm.mixing import mix_pages
+from foliospark.llm.names import same_names
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.quality import classify, text_statistics
 from foliospark.llm.tokens import token_sizes
@@ -47,5 +48,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "common_words")).where("kind != 'prose'").select("doc_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of one party."""
+    return same_names(read_table(spark, sf_dir, "entities"))
+
+
+QUERIES = {"p2_found": p2_found, "p8_found": p8_found, "p8_statistics": p8_statistics, "p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 ORACLE_SQL: dict[str, str] = {}
