@@ -72,10 +72,10 @@ def _closest(word: str, which: str) -> str | None:
     known = {"given": {**{g: g for g in NICKNAMES}, **_NICK}, "trade": _TRADE, "tail": {w: w for w in TRADE_TAILS}, "form": {w: w for w in FORMS}, "title": {w: w for w in TITLES}}[which]
     if word in known:
         return known[word]
-    if len(word) < 5:
+    if len(word) < (4 if which == "given" else 5):
         return None
     best = min(((edits(word, w, 2), w) for w in known if len(w) >= 5), default=(9, ""))
-    return known[best[1]] if best[0] <= (1 if len(best[1]) < 8 else 2) else None
+    return known[best[1]] if best[0] <= (1 if len(best[1]) < 8 or len(word) < 5 else 2) else None
 
 
 def fold(word: str) -> str:
@@ -97,6 +97,7 @@ def parse_name(text: str | None) -> tuple[str, str, str, str, str] | None:
     t = unicodedata.normalize("NFKC", text).lower().translate(_DIGITS)
     t = re.sub(r"\b(?:s|d|w|c)\s*/\s*o\b.*$", " ", t)
     t = re.sub(r"^\W*m\s*/\s*s\b\.?|^\W*(?:for|to)\s*:", " ", t)
+    t = re.sub(r"\bh\s*/\s*w\b", " hardware ", t)
     t = re.sub(r"l\s*\.\s*l\s*\.\s*p\b\.?", " llp ", re.sub(r"\(\s*p\s*\)", " ", t))
     t = re.sub(r"\(\s*prop\w*\.?\s*\)|,?\s*\b(?:contractor|prop|proprietor)\b\.?\s*$", " ", t)
     nick = [x for x in re.findall(r"[\(\"']\s*([a-z]+)\s*[\)\"']", t) if _closest(x, "given")]
@@ -177,7 +178,7 @@ def name_forms(names: DataFrame) -> DataFrame:
 
 def allowed_edits(length: int) -> int:
     """Edits that spellings of one name of so many letters may differ by."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 5 else 1 if length < 8 else 2 if length < 11 else 3
 
 
 def link_names(entities: DataFrame) -> DataFrame:
