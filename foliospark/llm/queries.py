@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm.addresses import same_addresses
 from foliospark.llm.history import find_repeats
 from foliospark.llm.mixing import mix_pages
 from foliospark.llm.names import same_names
@@ -53,5 +54,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_names(read_table(spark, sf_dir, "entities"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_found": p8_found, "p8_statistics": p8_statistics, "p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of one place."""
+    return same_addresses(read_table(spark, sf_dir, "entities"))
+
+
+QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p8_found": p8_found, "p8_statistics": p8_statistics, "p1_found": p1_found, "p6_packed": p6_packed, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
 ORACLE_SQL: dict[str, str] = {}
