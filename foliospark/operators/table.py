@@ -12,6 +12,7 @@ from foliospark.operators.tokens import row_text, take_until
 
 # Words of a table's header, ends of a table, labels of fields.
 HEADER_WORDS = ("description", "hsn", "quantity", "qty", "rate", "amount", "price", "unit", "gst", "taxable", "item")
+HEADER_ONLY = r"(?i)^\W*(?:(?:item\s+name|description(?:\s+of\s+goods)?|hsn(?:/sac|\s+code)?|quantity|qty|rate|amount|price|unit|gst|taxable|value|item|sl\.?\s*no\.?|s\.?\s*no\.?)\W*)+$"
 TOTALS = r"\b(?:total|sub total|amount chargeable|round off|tax amount|amount in words)\b"
 QUANTITY = r"(?i)(\d{1,6}(?:\.\d+)?\s*(?:pieces|pcs|bags?|kgs?|nos|units?|box(?:es)?)\b)"
 FIELD_LABELS = {"quantity": r"quantity|\bqty\b", "unitPrice": r"\brate\b|\bprice\b", "taxableValue": r"\bamount\b|\btaxable\b", "hsn": r"\bhsn\b"}
@@ -140,7 +141,7 @@ def parse_table(rows: Column, found: Column, margin: float = 12.0, narrowest: fl
 
     def step(s: Column, r: Column) -> Column:
         priced = F.exists(r["amounts"], lambda a: a.isNotNull())
-        held = F.when(r["text"].rlike(r"^[\d\s.,]+$") | (r["score"] >= 2), s["held"]).otherwise(F.concat(s["held"], F.array(r["text"])))
+        held = F.when(r["text"].rlike(r"^[\d\s.,]+$") | r["text"].rlike(HEADER_ONLY) | (r["score"] >= 2), s["held"]).otherwise(F.concat(s["held"], F.array(r["text"])))
         return F.struct(
             F.when(priced, F.array().cast("array<string>")).otherwise(held).alias("held"),
             F.when(priced, F.concat(s["items"], F.array(_item(r["columns"], r["amounts"], s["held"])))).otherwise(s["items"]).alias("items"),
