@@ -60,9 +60,10 @@ def _like(word: str, which: str) -> str | None:
 
 
 def read_address(text: str | None) -> dict | None:
-    """The parts of an address: ``pin``, ``state``, ``unit``, ``number``, ``kind`` of street and ``words``, or None for a place-holder.
+    """The parts of an address: ``pin``, ``state``, ``unit``, ``number``, ``kind`` of street, ``words`` and ``alone``, or None for a place-holder.
 
-    ``words`` are the own words, in order, of street and town, with (part, word); the locality's own word is left out, with what marks it.
+    ``words`` are the own words, in order, of street and town, with (part, word); the locality's own word is left out, with what marks it.  ``alone`` are
+    those that are all of their part.
     """
     if not text:
         return None
@@ -121,10 +122,12 @@ def read_address(text: str | None) -> dict | None:
         else:
             words.append((part, fold(w)))
             i += 1
-    return {"pin": pin, "state": state, "unit": "+".join(sorted(units)), "number": number, "kind": kind, "words": words}
+    parts = [p for p, _ in words]
+    alone = [w for p, w in words if w and parts.count(p) == 1]
+    return {"pin": pin, "state": state, "unit": "+".join(sorted(units)), "number": number, "kind": kind, "words": words, "alone": alone}
 
 
-_READ = pa.schema([("address", pa.string()), ("pin3", pa.string()), ("unit", pa.string()), ("number", pa.string()), ("words", pa.list_(pa.string()))])
+_READ = pa.schema([("address", pa.string()), ("pin3", pa.string()), ("unit", pa.string()), ("number", pa.string()), ("words", pa.list_(pa.string())), ("alone", pa.list_(pa.string()))])
 _PLACED = pa.schema([("address", pa.string()), ("unit", pa.string()), ("number", pa.string()), ("area", pa.string()), ("spelling", pa.string())])
 
 
@@ -133,7 +136,7 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a in b.column(0).to_pylist():
             if (p := read_address(a)) and (p["number"] or p["unit"]):
-                rows.append((a, p["pin"][:3], p["unit"], p["number"], [w for _, w in p["words"]]))
+                rows.append((a, p["pin"][:3], p["unit"], p["number"], [w for _, w in p["words"]], p["alone"]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
 
@@ -213,11 +216,11 @@ def resolve(words: list[str], gazetteer: Gazetteer, width: int = 8) -> int | Non
 
 
 def towns_of(read: DataFrame) -> dict[str, str]:
-    """The town of each postal prefix: the word that most of its addresses share.  At most a thousand prefixes of three digits."""
-    counted = read.where("pin3 != ''").select("pin3", "address", F.explode(F.array_distinct("words")).alias("w")).where("length(w) > 4").groupBy("pin3", "w").count()
+    """The town of each postal prefix: the word that most often is a part of an address by itself.  At most a thousand prefixes of three digits."""
+    counted = read.where("pin3 != ''").select("pin3", F.explode(F.array_distinct("alone")).alias("w")).where("length(w) > 4").groupBy("pin3", "w").count()
     top = counted.groupBy("pin3").agg(F.max_by("w", F.struct("count", "w")).alias("town"), F.max("count").alias("n"))
     sizes = read.where("pin3 != ''").groupBy("pin3").count()
-    return {r[0]: r[1] for r in top.join(sizes, "pin3").where("n * 3 >= count").select("pin3", "town").collect()}
+    return {r[0]: r[1] for r in top.join(sizes, "pin3").where("n * 8 >= count").select("pin3", "town").collect()}
 
 
 def place(read: DataFrame, towns: dict[str, str]) -> DataFrame:
@@ -240,7 +243,7 @@ def place(read: DataFrame, towns: dict[str, str]) -> DataFrame:
 
         for b in batches:
             rows = []
-            for address, pin3, unit, number, words in zip(*(c.to_pylist() for c in b.columns)):
+            for address, pin3, unit, number, words in zip(*(c.to_pylist() for c in b.columns[:5])):
                 own = [w for w in words if w]
                 town = next((w for w in own if w in by_name), None)
                 area = ""
@@ -287,7 +290,7 @@ def link_addresses(entities: DataFrame, block_rows: int = 20_000) -> DataFrame:
     its smallest address.  Very long addresses are read whole.  A town's spellings are resolved in blocks of about ``block_rows``.
     """
     cards = cut(entities.where("entity_id is not null and entity_address is not null").groupBy(F.col("entity_id").cast("bigint").alias("entity_id")).agg(F.min("entity_address").alias("address")))
-    read = cut(cards.select("address").distinct().mapInArrow(_read_all, "address string, pin3 string, unit string, number string, words array<string>"))
+    read = cut(cards.select("address").distinct().mapInArrow(_read_all, "address string, pin3 string, unit string, number string, words array<string>, alone array<string>"))
     placed = cut(place(read, towns_of(read)))
     spellings = cut(placed.where("spelling != ''").groupBy("area", "spelling").agg(F.count("*").alias("n")))
     gazetteer = cut(build_gazetteer(spellings))

@@ -44,6 +44,8 @@ def line_kind(line: str, common: frozenset[str]) -> int:
     n = len(tokens)
     if s[0] in "|¦" and n > 2 or tokens.count("|") >= 2:
         return TABLE
+    if _SHOUT.match(s) or _STARS.match(s) or _OFFER.search(s):
+        return ADVERT
     if n >= 3 and len(set(tokens)) == 1 or n >= 4 and 2 * len(set(tokens)) <= n:
         return JUNK
     if _LEADER.search(s):
@@ -67,8 +69,6 @@ def line_kind(line: str, common: frozenset[str]) -> int:
         return LIST
     if (m := _NUMBERED.match(s)) and known == 0:
         return LIST
-    if _SHOUT.match(s) or _STARS.match(s) or _OFFER.search(s):
-        return ADVERT
     if n >= 4 and len(lower) >= 0.6 * len(words):
         odd = sum(1 for w in lower if _CLUSTER.search(w))
         if odd >= 0.3 * len(lower) and known <= 0.25 * len(words):
