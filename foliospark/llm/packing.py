@@ -68,30 +68,35 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, full: float = 0.92) -> np.ndarray:
     """A window of each of ``sizes`` (none above ``capacity``) so that no window's sum exceeds ``capacity``.
 
-    Items beside which not even the smallest fits take windows of their own.  For the others the count starts from the least that could do
-    and rises by one while the capacity is exceeded.
+    Items beside which not even the smallest fits take windows of their own.  The others are differenced into the least number of windows that could
+    do.  While some exceed the capacity, those that are ``full`` and don't are kept and the rest is differenced again; if none is, the count rises by one.
     """
-    n = len(sizes)
-    out = np.empty(n, np.int64)
+    out = np.empty(len(sizes), np.int64)
     positive = sizes[sizes > 0]
     alone = sizes + (positive.min() if len(positive) else 1) > capacity
-    out[alone] = np.arange(alone.sum())
+    used = int(alone.sum())
+    out[alone] = np.arange(used)
     rest = np.flatnonzero(~alone)
-    if not len(rest):
-        return out
-    s = sizes[rest]
-    k = lower_bound(s, capacity)
-    while k < len(s):
-        w = difference(s, k)
-        if np.bincount(w, weights=s, minlength=k).max() <= capacity:
+    k = lower_bound(sizes[rest], capacity) if len(rest) else 0
+    while len(rest):
+        s = sizes[rest]
+        w = difference(s, k) if k < len(s) else np.arange(len(s))
+        load = np.bincount(w, weights=s)
+        over = load > capacity
+        if not over.any():
+            out[rest] = used + w
             break
-        k += 1
-    else:
-        w = np.arange(len(s))
-    out[rest] = w + alone.sum()
+        kept = ~over & (load >= full * capacity)
+        if kept.any():
+            stays = kept[w]
+            out[rest[stays]] = used + (np.cumsum(kept) - 1)[w[stays]]
+            used, rest = used + int(kept.sum()), rest[~stays]
+            k = lower_bound(sizes[rest], capacity)
+        else:
+            k += 1
     return out
 
 
@@ -111,7 +116,7 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack_documents(sizes: DataFrame, limits: DataFrame, windows_per_shard: int = 160) -> DataFrame:
+def pack_documents(sizes: DataFrame, limits: DataFrame, windows_per_shard: int = 320) -> DataFrame:
     """``limit_id, doc_id, part_no, n_tokens, container_id, capacity_tokens``: every document's place for every limit.
 
     ``sizes`` has ``doc_id`` and ``n_tokens``, ``limits`` has ``limit_id`` and ``capacity_tokens``.  A document above the capacity is cut into whole containers and

@@ -19,7 +19,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 FEATURES = ("mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "line_end_share", "common_share", "list_share", "table_share", "advert_share", "junk_share")
 _TYPES = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_lines", pa.int64()), ("n_not_prose", pa.int64()), *((f, pa.float64()) for f in FEATURES)]
 STATISTICS_SCHEMA = "doc_id bigint, n_words bigint, n_lines bigint, n_not_prose bigint, " + ", ".join(f"{f} double" for f in FEATURES)
-#: Documents that the mixture's start is chosen from.
+#: Documents that the mixture's start is chosen from: about as many, at most twice.
 INIT_SAMPLE = 4096
 COMPONENTS = 12
 
@@ -147,7 +147,7 @@ def fit_mixture(statistics: DataFrame, k: int = COMPONENTS, rounds: int = 12, to
     """Expectation-maximization over all rows that have words; None if there are none.
 
     Each round adds up the expected counts, sums and squares of every component in the tasks; only these k x 21 numbers reach
-    the driver.  The start is chosen from at most ``INIT_SAMPLE`` rows, those of the smallest id hashes.
+    the driver.  The start is chosen from a sample of bounded size, whatever the number of rows: one id hash in n / ``INIT_SAMPLE``.
     """
     rows = statistics.where("n_words > 0").select("doc_id", *FEATURES)
     moments = rows.select(*(x for f in FEATURES for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))), F.count("*").alias("n")).first()
@@ -155,7 +155,11 @@ def fit_mixture(statistics: DataFrame, k: int = COMPONENTS, rounds: int = 12, to
         return None
     center = np.array([moments[f"m_{f}"] for f in FEATURES])
     scale = np.maximum(np.array([moments[f"s_{f}"] for f in FEATURES]), 1e-3)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(INIT_SAMPLE).toPandas()[list(FEATURES)].to_numpy()
+    share = max(1, moments["n"] // INIT_SAMPLE)
+    sample = rows.withColumn("_h", F.xxhash64("doc_id")).where(F.pmod("_h", F.lit(share)) == 0).toPandas()
+    sample = sample.sort_values(["_h", "doc_id"], kind="stable")[list(FEATURES)].to_numpy()
+    if not len(sample):
+        sample = center[None, :]
     z = (sample - center) / scale
     means = _start(z, min(k, len(np.unique(z, axis=0))))
     k, d = means.shape
