@@ -75,13 +75,13 @@ def _closest(word: str, which: str) -> str | None:
     if len(word) < (4 if which == "given" else 5):
         return None
     best = min(((edits(word, w, 2), w) for w in known if len(w) >= 5), default=(9, ""))
-    return known[best[1]] if best[0] <= (1 if len(best[1]) < 8 or len(word) < 5 else 2) else None
+    return known[best[1]] if best[0] <= (1 if len(best[1]) < 7 or len(word) < 6 else 2) else None
 
 
 def fold(word: str) -> str:
-    """``word`` with spellings of one sound made alike: ph f, th t, ck c q k, ou o, oo u, w v, y i, double letters single."""
+    """``word`` with spellings of one sound made alike: ph f, th t, sh s, bh b, dh d, kh k, ck c q k, ou o, oo u, w v, y i, double letters single."""
     w = word
-    for a, b in (("ph", "f"), ("th", "t"), ("bh", "b"), ("dh", "d"), ("kh", "k"), ("ck", "k"), ("oo", "u"), ("ou", "o"), ("ee", "i"), ("c", "k"), ("q", "k"), ("w", "v"), ("y", "i")):
+    for a, b in (("ph", "f"), ("th", "t"), ("sh", "s"), ("bh", "b"), ("dh", "d"), ("kh", "k"), ("ck", "k"), ("oo", "u"), ("ou", "o"), ("ee", "i"), ("c", "k"), ("q", "k"), ("w", "v"), ("y", "i")):
         w = w.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", w)
 
