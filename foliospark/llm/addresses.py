@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -304,8 +305,9 @@ def link_addresses(entities: DataFrame, block_rows: int = 20_000) -> DataFrame:
 
     def search(a: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         gaz = Gazetteer(list(zip(g["street"].tolist(), g["body"], g["first"], g["second"])))
-        found = [resolve(s.split(" "), gaz) for s in a["spelling"]]
-        return pd.DataFrame({"area": a["area"], "spelling": a["spelling"], "street": pd.array(found, dtype="Int64")}).dropna()
+        found = [(r, s, i) for r, s in zip(a["area"], a["spelling"]) if (i := resolve(s.split(" "), gaz)) is not None]
+        areas, spellings, streets = zip(*found) if found else ((), (), ())
+        return pd.DataFrame({"area": pd.Series(areas, dtype=object), "spelling": pd.Series(spellings, dtype=object), "street": np.array(streets, np.int64)})
 
     resolved = asked.groupBy("area", "block").cogroup(offered.groupBy("g_area", "g_block")).applyInPandas(search, "area string, spelling string, street bigint")
     homeless = spellings.where("area = ''").select(F.xxhash64("spelling").alias("id"), F.lit("").alias("block"), F.regexp_replace("spelling", " ", "").alias("s"), "spelling")

@@ -166,6 +166,16 @@ def near_firsts(values: DataFrame, most: int = 6) -> DataFrame:
     return near.groupBy("value").agg(F.min("near_id").alias("near_id"))
 
 
+def upload_marks(uploads: DataFrame) -> DataFrame:
+    """``upload_id, batch, mark``: the canonical hashes of every upload, one row each, null where they identify nothing."""
+    rows = uploads.where("upload_id is not null").select(
+        F.col("upload_id").cast("bigint"), F.coalesce(F.col("batch_id").cast("int"), F.lit(-1)).alias("batch"),
+        canonical_hex(F.col("upload_hash"), 64).alias("h"), canonical_hex(F.col("phash"), 16).alias("p"),
+    )
+    once = rows.groupBy("upload_id").agg(F.min(F.struct("batch", "h", "p")).alias("r")).select("upload_id", "r.batch", "r.h", "r.p")
+    return once.select("upload_id", "batch", F.explode(F.array("h", "p")).alias("mark"))
+
+
 def find_repeats(uploads: DataFrame, most: int = 6) -> DataFrame:
     """``first_upload_id, upload_id`` of every upload that repeats an earlier one, with the smallest upload_id it repeats.
 
@@ -174,12 +184,7 @@ def find_repeats(uploads: DataFrame, most: int = 6) -> DataFrame:
     of the smallest batch counts.  A null batch counts as the first.  Equal values collapse before any search, so any share of all uploads may
     carry one value.
     """
-    rows = uploads.where("upload_id is not null").select(
-        F.col("upload_id").cast("bigint"), F.coalesce(F.col("batch_id").cast("int"), F.lit(-1)).alias("batch"),
-        canonical_hex(F.col("upload_hash"), 64).alias("h"), canonical_hex(F.col("phash"), 16).alias("p"),
-    )
-    once = rows.groupBy("upload_id").agg(F.min(F.struct("batch", "h", "p")).alias("r")).select("upload_id", "r.batch", "r.h", "r.p")
-    marks = cut(once.select("upload_id", "batch", F.explode(F.array("h", "p")).alias("mark")).where("mark is not null"))
+    marks = cut(upload_marks(uploads).where("mark is not null"))
     firsts = marks.groupBy("mark").agg(F.min("upload_id").alias("first_id"), F.min("batch").alias("batch"))
     texts = firsts.where("length(mark) = 16").select(hex_to_long(F.col("mark")).alias("value"), "first_id", "batch")
     near = near_firsts(texts, most).select(F.lower(F.lpad(F.hex("value"), 16, "0")).alias("mark"), F.col("near_id").alias("first_id"))

@@ -104,3 +104,21 @@ def test_dense_symbols_use_those_behind():
 def test_bounds(spark):
     with pytest.raises(ValueError):
         H.near_firsts(spark.range(1).select(F.col("id").alias("value"), F.col("id").alias("first_id"), F.lit(1).alias("batch")), 8)
+
+
+def test_batches_in_turn_find_what_the_whole_does(spark, tmp_path):
+    from foliospark.llm.history_store import HistoryIndex
+
+    uploads = spark.read.parquet("/root/testdata/sf0.01/uploads.parquet").select("upload_id", "batch_id", "upload_hash", "phash").cache()
+    numbers = sorted(r[0] for r in uploads.select("batch_id").distinct().collect())[:6]
+    known = uploads.where(F.col("batch_id").isin(numbers))
+    index, got = HistoryIndex(spark, f"file://{tmp_path}/index"), set()
+    for b in numbers:
+        batch = known.where(F.col("batch_id") == b)
+        got |= {tuple(r) for r in index.accept(batch).collect()}
+    assert got == {tuple(r) for r in H.find_repeats(known).collect()} and got
+    segments = index.folder.segments()
+    assert [s["rank"] for s in segments] == [2, 1]
+    again = HistoryIndex(spark, f"{tmp_path}/index").accept(known.where(F.col("batch_id") == numbers[0]))
+    assert again.count() == 0, "what was accepted before is no new repeat"
+    assert HistoryIndex(spark, f"{tmp_path}/other").accept(known.where("false")).count() == 0
