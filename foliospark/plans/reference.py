@@ -14,6 +14,7 @@ from foliospark.functions import scalars as S
 from foliospark.operators import assemble as A
 from foliospark.operators import quality as Q
 from foliospark.operators import reconcile as R
+from foliospark.operators import rich as H
 from foliospark.operators import table as T
 from foliospark.operators import tokens as K
 from foliospark.operators.clusters import cluster_tokens, column_centers
@@ -415,6 +416,29 @@ def personal_pan(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "ocr_responses").select("response_id", F.explode(S.personal("pan", F.col("payload"))).alias("found"))
 
 
+@query(r"""select upload_id, cast(sum(coalesce(cast(net_amount as decimal(18,2)), 0)) as decimal(18,2)) as total_amount,
+case when sum(coalesce(try_cast(nullif(regexp_extract(qty_value, '(\d+)', 1), '') as int), 0)) > 0 then sum(coalesce(try_cast(nullif(regexp_extract(qty_value, '(\d+)', 1), '') as int), 0)) || ' PCS' end as total_qty from line_items group by 1""")
+def recompute_totals(spark: SparkSession, d: str) -> DataFrame:
+    item = F.struct(F.col("net_amount").cast(MONEY).alias("taxableValue"), F.col("qty_value").alias("quantity"))
+    items = read_table(spark, d, "line_items").groupBy("upload_id").agg(F.collect_list(item).alias("items"))
+    t = items.select("upload_id", R.item_totals(F.col("items")).alias("t"))
+    return t.select("upload_id", F.col("t.totalAmount").alias("total_amount"), F.col("t.totalQty").alias("total_qty"))
+
+
+@query()
+def rich_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Stored responses rebuilt from their tokens: rows, columns by exact centres, lines, totals and warnings."""
+    docs = stored_documents(read_table(spark, d, "ocr_responses"))
+    t = docs.select("doc_id", K.geometry_tokens(F.col("fullText")).alias("tokens"))
+    t = t.select("doc_id", K.rows_by_median(F.col("tokens")).alias("rows"))
+    wide = F.filter("rows", lambda r: F.size(r) >= 4)
+    centers = F.coalesce(F.transform(F.get(wide, F.lit(0)), lambda x: x["cx"]), F.array(F.lit(0.0)))
+    t = t.select("doc_id", K.full_text(F.col("rows")).alias("text"), H.lines_from_rows(F.col("rows"), centers).alias("lines"))
+    quality = (F.lit(None).cast("double").alias(c) for c in ("focus", "glare", "ocr_confidence"))
+    whole = H.build_responses(t.select("*", *quality, F.lit("").alias("upload_hash"), F.lit("").alias("phash")))
+    return whole.select("doc_id", F.size("lines").alias("n_lines"), "totals.*", F.size("warnings").alias("n_warnings"))
+
+
 @query()
 def parse_item_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines written out as text and read back."""

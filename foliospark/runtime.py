@@ -24,6 +24,8 @@ def local_session(app: str = "foliospark", cores: str = "*", partitions: int = 8
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Deep expressions are built several times faster without a call site for each part.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

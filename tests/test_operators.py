@@ -13,6 +13,7 @@ from foliospark.functions import scalars as S
 from foliospark.operators import assemble as A
 from foliospark.operators import quality as Q
 from foliospark.operators import reconcile as R
+from foliospark.operators import rich as H
 from foliospark.operators import table as T
 from foliospark.operators import tokens as K
 from foliospark.operators.clusters import best_centers, density_labels
@@ -217,3 +218,19 @@ def test_config_and_schemas(spark, monkeypatch):
     c = Config.from_env()
     assert c.max_pages == 5 and c.reject_if_bad_quality is False and c.min_focus == 80.0
     assert spark.createDataFrame([], RESPONSE).count() == 0
+
+
+def test_cells_and_rich_lines(spark):
+    cells = [(1, [0, 0, 50, 9], "Description", 0.9), (1, [60, 0, 90, 9], "Qty", 0.9), (1, [0, 20, 50, 29], "Clay brick", 0.8), (1, [60, 21, 90, 29], "6904", 0.9), (1, [100, 20, 120, 29], "40 pcs", None), (1, [130, 20, 150, 29], "345.00", 0.7), (1, [160, 20, 180, 29], "18%", 0.9), (1, [0, 40, 9, 49], "ghost", 0.9), (2, None, "x", 0.1)]
+    df = spark.createDataFrame(cells, "doc_id bigint, bbox array<int>, text string, conf double")
+    r = H.lines_from_cells(df).collect()
+    assert [(x["description"], x["hsn"], x["qty"], x["unit"], x["unitPrice"], x["gstRate"]) for x in r] == [("Clay brick", "6904", 40.0, "pcs", 345.0, 0.18)]
+    rows = [[("Clay brick", 0.8, 0, 10.0, 5.0, 0.0, 0), ("6904", 0.9, 0, 100.0, 5.0, 90.0, 1), ("40 pcs", 0.5, 0, 200.0, 5.0, 190.0, 2), ("345.00", 0.9, 0, 300.0, 5.0, 290.0, 3), ("18", 0.9, 0, 400.0, 5.0, 390.0, 4)], [("Total", 0.9, 0, 10.0, 50.0, 0.0, 5)]]
+    kind = "rows array<array<struct<text: string, conf: double, page: int, cx: double, cy: double, left: double, idx: int>>>"
+    d = spark.createDataFrame([(rows,)], kind).select(F.lit(1).alias("doc_id"), F.lit("Invoice No.: 7\nCGST@9% 1242.00\nSGST@9% 1242.00\nTotal: 16,284.00").alias("text"), H.lines_from_rows(F.col("rows"), F.array(*map(F.lit, (10.0, 100.0, 200.0, 300.0, 400.0)))).alias("lines"), F.lit(20.0).alias("focus"), F.lit(0.0).alias("glare"), F.lit(0.9).alias("ocr_confidence"), F.lit("").alias("upload_hash"), F.lit("").alias("phash"))
+    r = H.build_responses(d).first()
+    line = r["lines"][0]
+    assert (line["lines"]["description"], line["lines"]["hsn"], line["computed"]["gross"]) == ("Clay brick", "6904", D("16284.00"))
+    t = r["totals"]
+    assert (t["net"], t["tax"], t["gross"], t["cgst"], t["igst"], t["reconciled"]) == (D("13800.00"), D("2484.00"), D("16284.00"), D("1242.00"), None, True)
+    assert [w["code"] for w in r["warnings"]] == ["LOW_FOCUS", "LOW_CONF_FIELD"] and r["invoice"]["number"] == "7"
