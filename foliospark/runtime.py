@@ -51,3 +51,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over all partitions of a shuffle.
+
+    For grouped work that is heavy for its bytes: adaptive execution merges small partitions by size and would leave it to a few tasks.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), *keys)
