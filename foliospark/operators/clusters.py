@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliospark.runtime import spread
+
 
 def density_labels(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     """Labels of points linked by steps of at most ``eps``, numbered by first point; lone points are -1.
 
-    Points are looked up in a grid of cells of that width, so far points are never compared.
+    Points of one grid cell of diagonal ``eps`` are linked; beyond that only neighbouring cells are compared, and only until they are linked.
     """
     n = len(x)
-    parent = np.arange(n)
+    if not n:
+        return np.zeros(0, int)
+    side = eps / np.sqrt(2)
+    grid = np.stack([np.floor(x / side), np.floor(y / side)], 1).astype(np.int64)
+    cells, own = np.unique(grid, axis=0, return_inverse=True)
+    own = own.reshape(-1)
+    order = np.argsort(own, kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(own, minlength=len(cells)))[:-1])
+    at = {tuple(c): i for i, c in enumerate(cells.tolist())}
+    parent = list(range(len(cells)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -21,20 +34,21 @@ def density_labels(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
             i = parent[i]
         return i
 
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i in range(n):
-        gx, gy = int(x[i] // eps), int(y[i] // eps)
-        for cx in (gx - 1, gx, gx + 1):
-            for cy in (gy - 1, gy, gy + 1):
-                for j in cells.get((cx, cy), ()):
-                    if (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= eps * eps:
-                        a, b = root(i), root(j)
-                        parent[max(a, b)] = min(a, b)
-        cells.setdefault((gx, gy), []).append(i)
-    roots = np.array([root(i) for i in range(n)], int)
-    sizes = np.bincount(roots, minlength=n) if n else np.zeros(0, int)
-    label: dict[int, int] = {}
-    return np.array([label.setdefault(r, len(label)) if sizes[r] > 1 else -1 for r in roots], int)
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0) and (abs(i), abs(j)) != (2, 2)]
+    for i, (cx, cy) in enumerate(cells.tolist()):
+        for dx, dy in ahead:
+            j = at.get((cx + dx, cy + dy))
+            if j is None or root(i) == root(j):
+                continue
+            a, b = members[i], members[j]
+            if any(((x[p] - x[b]) ** 2 + (y[p] - y[b]) ** 2 <= eps * eps).any() for p in a):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    group = np.array([root(i) for i in range(len(cells))])[own]
+    _, first, again, size = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.full(len(first), -1)
+    linked = np.flatnonzero(size > 1)
+    rank[linked[np.argsort(first[linked])]] = np.arange(len(linked))
+    return rank[again.reshape(-1)]
 
 
 def cluster_tokens(tokens: DataFrame, eps: float = 200.0, doc: str = "doc_id") -> DataFrame:
@@ -43,12 +57,29 @@ def cluster_tokens(tokens: DataFrame, eps: float = 200.0, doc: str = "doc_id") -
     A document of fewer than two tokens is one cluster.  A task holds one document at a time.
     """
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable")
-        found = density_labels(pdf["cx"].to_numpy(), pdf["cy"].to_numpy(), eps) if len(pdf) > 1 else np.zeros(len(pdf), int)
-        return pd.DataFrame({doc: pdf[doc].to_numpy(), "idx": pdf["idx"].to_numpy(), "label": found})
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _documents(batches, doc):
+            x, y = pdf["cx"].to_numpy(), pdf["cy"].to_numpy()
+            found = np.concatenate([density_labels(x[a:b], y[a:b], eps) if b - a > 1 else np.zeros(b - a, int) for a, b in bounds])
+            yield pd.DataFrame({doc: pdf[doc].to_numpy(), "idx": pdf["idx"].to_numpy(), "label": found})
+
+    placed = tokens.where("cx is not null and cy is not null").select(doc, "idx", "cx", "cy")
+    return spread(placed, doc).sortWithinPartitions(doc, "idx").mapInPandas(label, f"{doc} bigint, idx int, label int")
+
 
-    return tokens.where("cx is not null and cy is not null").select(doc, "idx", "cx", "cy").groupBy(doc).applyInPandas(label, f"{doc} bigint, idx int, label int")
+def _documents(batches: Iterator[pd.DataFrame], doc: str) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Batches of whole documents of a sorted partition, with the rows of each."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        ids = pdf[doc].to_numpy()
+        edges = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        last = int(edges[-1]) if len(edges) else 0
+        if last:
+            yield pdf.iloc[:last], list(zip([0, *edges[:-1].tolist()], edges.tolist()))
+        rest = pdf.iloc[last:]
+    if rest is not None and len(rest):
+        yield rest, [(0, len(rest))]
 
 
 def best_centers(x: np.ndarray, k: int) -> np.ndarray:
@@ -81,8 +112,10 @@ def best_centers(x: np.ndarray, k: int) -> np.ndarray:
 def column_centers(tokens: DataFrame, most: int = 5, doc: str = "doc_id") -> DataFrame:
     """``doc, column, center``: centres of at most ``most`` columns of each document's token centres."""
 
-    def centers(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = best_centers(pdf["cx"].to_numpy(), most)
-        return pd.DataFrame({doc: pdf[doc].iloc[0], "column": np.arange(len(c)), "center": c})
+    def centers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _documents(batches, doc):
+            ids, x = pdf[doc].to_numpy(), pdf["cx"].to_numpy()
+            rows = [(ids[a], i, c) for a, b in bounds for i, c in enumerate(best_centers(x[a:b], most))]
+            yield pd.DataFrame(rows, columns=[doc, "column", "center"])
 
-    return tokens.where("cx is not null").select(doc, "cx").groupBy(doc).applyInPandas(centers, f"{doc} bigint, column int, center double")
+    return spread(tokens.where("cx is not null").select(doc, "cx"), doc).sortWithinPartitions(doc).mapInPandas(centers, f"{doc} bigint, column int, center double")
