@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.links import components, pairs_within, probes, segments, similar_pairs
 from foliospark.llm.names import edits, fold
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 # Kinds of streets, localities, units and states, with their abbreviations.
 STREET_TYPES = {
@@ -309,7 +309,7 @@ def link_addresses(entities: DataFrame, block_rows: int = 20_000) -> DataFrame:
         areas, spellings, streets = zip(*found) if found else ((), (), ())
         return pd.DataFrame({"area": pd.Series(areas, dtype=object), "spelling": pd.Series(spellings, dtype=object), "street": np.array(streets, np.int64)})
 
-    resolved = asked.groupBy("area", "block").cogroup(offered.groupBy("g_area", "g_block")).applyInPandas(search, "area string, spelling string, street bigint")
+    resolved = spread(asked, "area", "block").groupBy("area", "block").cogroup(spread(offered, "g_area", "g_block").groupBy("g_area", "g_block")).applyInPandas(search, "area string, spelling string, street bigint")
     homeless = spellings.where("area = ''").select(F.xxhash64("spelling").alias("id"), F.lit("").alias("block"), F.regexp_replace("spelling", " ", "").alias("s"), "spelling")
     near = similar_pairs(homeless, gazetteer.select(F.col("street").alias("id"), F.lit("").alias("block"), F.col("body").alias("s")), lambda n: min(2, street_edits(n)), within=False)
     alone = near.groupBy("a").agg(F.min("b").alias("street"), F.max("b").alias("other")).where("street = other")

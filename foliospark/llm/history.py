@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 WORDS, BITS = 4, 16
 #: Suffixes with one leading symbol beyond which the symbols behind it are looked up too.
@@ -162,7 +162,7 @@ def near_firsts(values: DataFrame, most: int = 6) -> DataFrame:
         return pd.DataFrame({"value": v.view(np.int64), "near_id": np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)})
 
     both = held.select("key", "block", "s", "first_id", "batch", "role").unionByName(asked.select("key", "block", "s", "first_id", "batch", "role"))
-    near = both.groupBy("key", "block").applyInPandas(search, "value bigint, near_id bigint")
+    near = spread(both, "key", "block").groupBy("key", "block").applyInPandas(search, "value bigint, near_id bigint")
     return near.groupBy("value").agg(F.min("near_id").alias("near_id"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.history import BITS, NONE, WORDS, SuffixSegments, hex_to_long, upload_marks
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 PHASH, HASH, ID = 0, 1, 2
 _ROW = "kind int, key int, s bigint, r1 bigint, r2 bigint, r3 bigint, first_id bigint, role int"
@@ -135,7 +135,7 @@ class HistoryIndex:
             return pd.DataFrame({"kind": np.full(len(text), kind), "mark": pd.Series(text, dtype=object), "near": found[hit]})
 
         rows = near.unionByName(exact).unionByName(known)
-        hits = cut(rows.groupBy("kind", "key").applyInPandas(search, "kind int, mark string, near bigint"))
+        hits = cut(spread(rows, "kind", "key").groupBy("kind", "key").applyInPandas(search, "kind int, mark string, near bigint"))
         again = hits.where(F.col("kind") == ID).select(hex_to_long(F.col("mark")).alias("upload_id"))
         best = firsts.unionByName(hits.where(F.col("kind") != ID).select("mark", F.col("near").alias("first_id"))).groupBy("mark").agg(F.min("first_id").alias("first_id"))
         fresh = marks.where("mark is not null").join(again, "upload_id", "left_anti")

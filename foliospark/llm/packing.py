@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -153,5 +153,5 @@ def pack_documents(sizes: DataFrame, limits: DataFrame, windows_per_shard: int =
         head = f"{pdf['limit_id'].iloc[0]}-s-{pdf['shard'].iloc[0]}-"
         return pdf.assign(container_id=[head + str(x) for x in w])[["limit_id", "doc_id", "part_no", "n_tokens", "capacity_tokens", "container_id"]]
 
-    packed = items.groupBy("limit_id", "shard").applyInPandas(fill, schema)
+    packed = spread(items, "limit_id", "shard").groupBy("limit_id", "shard").applyInPandas(fill, schema)
     return full.select("limit_id", "doc_id", "part_no", "n_tokens", "capacity_tokens", "container_id").unionByName(packed)
