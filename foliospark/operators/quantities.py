@@ -7,6 +7,7 @@ known factor.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from decimal import ROUND_FLOOR, Decimal, InvalidOperation
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.runtime import cut, spread
+
 # Spellings of the unit codes, lower case without full stops.
 SPELLINGS = {
     "mg": ("mg", "mgs", "milligram", "milligrams", "milligramme"),
@@ -279,42 +282,131 @@ def penalised_segments(values: np.ndarray, penalty: float) -> list[int]:
 SHIFT_SCHEMA = "source string, segment int, first_at bigint, last_at bigint, n bigint, level double, factor double, unit_change boolean"
 
 
-def unit_shifts(
-    history: DataFrame, factors: list[float], penalty: float = 12.0, tolerance: float = 0.35, block: int = 4096
-) -> DataFrame:
+class Segmenter:
+    """The exact penalised segmentation of one source's values, given one by one in order.
+
+    The dynamic programme keeps, for each level that the running segment may have, the start that is best for it; a start that is best for no
+    level never is again.  A start is [rows, mean, cost, chain]: cost is that of all rows so far with the mean as level, chain the
+    segments before it, each (chain, first, last, rows, mean).  Memory holds the starts still open and segments that not all of them share.
+    """
+
+    def __init__(self, penalty: float) -> None:
+        self.penalty = penalty
+        self.starts: list[list] = [[0, 0.0, 0.0, None, 0]]
+        self.pieces: list[tuple[float, float, list]] = [(-np.inf, np.inf, self.starts[0])]
+        self.chain: tuple | None = None
+        self.rows, self.look = 0, 4096
+
+    def add(self, at: int, x: float) -> None:
+        best = None
+        for c in self.starts:
+            n = c[0] + 1
+            if n == 1:
+                c[4] = at
+            d = x - c[1]
+            c[2] += d * d * c[0] / n
+            c[1] += d / n
+            c[0] = n
+            if best is None or c[2] < best[2]:
+                best = c
+        self.chain = (best[3], best[4], at, best[0], best[1])
+        worth = best[2] + self.penalty
+        fresh = [0, 0.0, worth, self.chain, 0]
+        pieces: list[tuple[float, float, list]] = []
+        edge = -np.inf
+        for lo, hi, c in self.pieces:
+            room = worth - c[2]
+            if room < 0:
+                continue
+            half = math.sqrt(room / c[0])
+            lo, hi = max(lo, c[1] - half), min(hi, c[1] + half)
+            if lo >= hi:
+                continue
+            if lo > edge:
+                pieces.append((edge, lo, fresh))
+            pieces.append((lo, hi, c))
+            edge = hi
+        if edge < np.inf:
+            pieces.append((edge, np.inf, fresh))
+        self.pieces = pieces
+        self.starts = list({id(c): c for _, _, c in pieces}.values())
+        self.starts.sort(key=lambda c: -c[0])
+        self.rows += 1
+
+    def settled(self) -> list[tuple[int, int, int, float]]:
+        """The segments (first, last, rows, mean) that all open starts share and that were not yet given."""
+        if self.rows < self.look:
+            return []
+        chains = [_links(c[3]) for c in self.starts]
+        shared = 0
+        while all(len(x) > shared and x[shared] is chains[0][shared] for x in chains):
+            shared += 1
+        # Links lead back: what is settled is cut off by building the rest anew, each link once.
+        made: dict[int, tuple] = {}
+        for c, links in zip(self.starts, chains):
+            new = None
+            for link in links[shared:]:
+                new = made.setdefault(id(link), (new, *link[1:]))
+            c[3] = new
+        self.chain = made.get(id(self.chain))
+        self.rows, self.look = 0, max(4096, 4 * max(map(len, chains)) - 4 * shared)
+        return [link[1:] for link in chains[0][:shared]]
+
+    def rest(self) -> list[tuple[int, int, int, float]]:
+        """The segments not yet given, at the end of the history."""
+        return [link[1:] for link in _links(self.chain)]
+
+
+def _links(chain: tuple | None) -> list[tuple]:
+    out = []
+    while chain is not None:
+        out.append(chain)
+        chain = chain[0]
+    return out[::-1]
+
+
+def unit_shifts(history: DataFrame, factors: list[float], penalty: float = 12.0, tolerance: float = 0.35, block: int = 4096) -> DataFrame:
     """Segments of each source's history and the unit changes among them.
 
     ``history`` has ``source`` string, ``at`` bigint and ``value`` double; others are ignored.  Rows with a null, a non-positive or a
     non-finite value are left out; rows that tie in ``at`` are taken in order of value.  The log values of a source are
-    segmented exactly.  A segment whose level departs from its source's largest segment by the log of one of ``factors`` or its
-    inverse, within ``tolerance``, is a unit change: ``value * factor`` reverses it.  A source of more than ``block`` rows is segmented in
-    runs of ``block`` rows that tasks share, so a source may hold any share of all rows; no row is left out.
+    segmented exactly, over its whole history.  A source's base is the mean level of the segments about the level that holds most of its rows,
+    all within ``tolerance`` of it to an eighth.  A segment whose level departs from the base by the log of one of ``factors`` or its
+    inverse, within ``tolerance``, is a unit change: ``value * factor`` reverses it.  A source is read in order by one task that holds
+    ``block`` rows and the state of its search at a time, so it may be of any length; no row is left out.
     """
     rows = history.where("source is not null and at is not null and value > 0 and value < double('infinity')").select(
         F.col("source").cast("string"), F.col("at").cast("bigint"), F.col("value").cast("double")
     )
-    # Runs of equal size without sorting a whole source in one task: at-ranges from a distributed sort, numbered by partition.
-    ordered = rows.repartitionByRange("source", "at", "value").sortWithinPartitions("source", "at", "value")
+    ordered = spread(rows, "source").sortWithinPartitions("source", "at", "value")
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[tuple] = []
+        source, search = None, None
         for pdf in _runs(batches, block):
-            x = np.log(pdf["value"].to_numpy())
-            starts = np.array(penalised_segments(x, penalty))
-            sizes = np.diff(np.append(starts, len(x)))
-            at = pdf["at"].to_numpy()
-            held.append(pd.DataFrame({
-                "source": pdf["source"].iloc[0], "first_at": at[starts], "last_at": at[starts + sizes - 1], "n": sizes, "level": np.add.reduceat(x, starts) / sizes,
-            }))
-            if len(held) >= 256:
-                yield pd.concat(held)
+            if search is None or pdf["source"].iloc[0] != source:
+                if search is not None:
+                    held += [(source, *x) for x in search.rest()]
+                source, search = pdf["source"].iloc[0], Segmenter(penalty)
+            for at, x in zip(pdf["at"].tolist(), np.log(pdf["value"].to_numpy()).tolist()):
+                search.add(at, x)
+            held += [(source, *x) for x in search.settled()]
+            if len(held) >= 4096:
+                yield pd.DataFrame(held, columns=["source", "first_at", "last_at", "n", "level"])
                 held = []
+        if search is not None:
+            held += [(source, *x) for x in search.rest()]
         if held:
-            yield pd.concat(held)
+            yield pd.DataFrame(held, columns=["source", "first_at", "last_at", "n", "level"])
 
-    found = ordered.mapInPandas(segment, "source string, first_at bigint, last_at bigint, n bigint, level double")
+    # The segments are used twice, and the search is not to run twice.
+    found = cut(ordered.mapInPandas(segment, "source string, first_at bigint, last_at bigint, n bigint, level double"))
     own = Window.partitionBy("source")
-    base = found.groupBy("source").agg(F.max_by("level", F.struct("n", "first_at")).alias("_base"))
+    # Rows by steps of an eighth of the tolerance, and about each step those within the tolerance; a source has few steps however many segments.
+    steps = found.groupBy("source", F.floor(F.col("level") * 8 / tolerance).alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("level")).alias("total"))
+    about = own.orderBy("step").rangeBetween(-8, 8)
+    near_by = steps.select("source", "step", "n", F.sum("n").over(about).alias("rows"), F.sum("total").over(about).alias("total"))
+    base = near_by.groupBy("source").agg(F.max_by(F.col("total") / F.col("rows"), F.struct("rows", "n", -F.col("step"))).alias("_base"))
     logs = [float(np.log(f)) for f in factors if f > 0 and f != 1] or [float("inf")]
     gaps = F.array(*(F.struct(F.abs(F.col("level") - F.col("_base") - F.lit(s * g)).alias("d"), F.lit(float(np.exp(-s * g))).alias("f")) for g in logs for s in (1.0, -1.0)))
     near = F.array_min(gaps)

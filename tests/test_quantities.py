@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliospark.operators.quantities import _amount, content_of, normalize_quantities, penalised_segments, plain_number, read_amount, unit_factors, unit_kind, unit_shifts
+from foliospark.operators.quantities import Segmenter, _amount, content_of, normalize_quantities, penalised_segments, plain_number, read_amount, unit_factors, unit_kind, unit_shifts
 
 UNITS = "/root/testdata/sf0.001/unit_codes.parquet"
 
@@ -92,3 +92,34 @@ def test_unit_change_is_found_and_reversed(spark):
     assert [(r["source"], r["first_at"], r["last_at"]) for r in changed] == [("a", 100, 159)] and abs(changed[0]["factor"] - 0.001) < 1e-9
     assert sum(r["n"] for r in got if r["source"] == "b") == 50
     assert unit_shifts(spark.createDataFrame([], "source string, at bigint, value double"), [10.0]).count() == 0
+
+
+def test_history_is_segmented_whole(spark):
+    rng = np.random.default_rng(3)
+    # A change behind row 4096, 9000 rows of one level before it; few rows of another source between the partitions.
+    x = np.concatenate([rng.normal(2, 0.1, 9000), rng.normal(2 + np.log(1000), 0.1, 5000)])
+    rows = [("a", i, float(v)) for i, v in enumerate(np.exp(x))] + [("b", i, 5.0 if i % 100 < 50 else 5000.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, at bigint, value double").repartition(7)
+    for block in (64, 4096):
+        got = sorted(map(tuple, unit_shifts(df, [1000.0], block=block).select("source", "segment", "first_at", "last_at", "n", "unit_change").collect()))
+        assert [r for r in got if r[0] == "a"] == [("a", 0, 0, 8999, 9000, False), ("a", 1, 9000, 13999, 5000, True)]
+        assert [r[2:5] for r in got if r[0] == "b"] == [(i, i + 49, 50) for i in range(0, 300, 50)]
+
+
+def test_base_is_the_level_of_most_rows(spark):
+    # 5 x 60 rows in kg, between them one longer run in g.
+    parts = [4.0] * 60 + [4000.0] * 200 + [4.0] * 60 + [900_000.0] * 30 + [4.0] * 60 + [900_000.0] * 30 + [4.0] * 60 + [900_000.0] * 30 + [4.0] * 60
+    got = unit_shifts(spark.createDataFrame([("a", i, v) for i, v in enumerate(parts)], "source string, at bigint, value double"), [1000.0]).where("unit_change").collect()
+    assert [(r["first_at"], r["last_at"], round(r["factor"], 6)) for r in got] == [(60, 259, 0.001)]
+
+
+def test_search_in_steps_equals_the_whole():
+    rng = np.random.default_rng(8)
+    for n, penalty in ((1, 1.0), (300, 0.5), (9000, 3.0), (9000, 12.0)):
+        x = rng.normal(0, 1, n) + np.repeat(rng.normal(0, 2, n // 40 + 1), 40)[:n]
+        search, got = Segmenter(penalty), []
+        for i, v in enumerate(x.tolist()):
+            search.add(i, v)
+            got += search.settled() if i % 100 == 0 else []
+        got += search.rest()
+        assert [g[0] for g in got] == penalised_segments(x, penalty) and sum(g[2] for g in got) == n
