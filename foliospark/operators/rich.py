@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.scalars import first_number, hull, let, quantity_unit, rate
 from foliospark.operators import fields
+from foliospark.operators.clusters import best_centers
 from foliospark.operators.quality import line_warnings, warnings
 from foliospark.operators.reconcile import line_amounts, reconciled, split_tax
 from foliospark.operators.table import nearest_center
@@ -44,6 +45,15 @@ def rich_line(columns: Column) -> Column:
     return let(F.struct(*(field_of(at(i)).alias(n) for i, n in enumerate(("first", "second", "third", "fourth", "fifth")))), build)
 
 
+def column_centers_of(rows: Column, most: int = 5) -> Column:
+    """Centres of at most ``most`` columns of a table's rows: the exact ones of all tokens in rows of two or more that are no header or total; 0 without such rows."""
+    text = lambda r: F.concat_ws(" ", F.transform(r, lambda t: t["text"]))
+    table = F.filter(rows, lambda r: (F.size(r) >= 2) & ~text(r).rlike(SKIP))
+    xs = F.filter(F.transform(F.flatten(table), lambda t: t["cx"]), lambda x: x.isNotNull())
+    found = F.pandas_udf(lambda column: column.map(lambda x: best_centers(x, most)), "array<double>")
+    return F.when(F.size(xs) > 0, found(xs)).otherwise(F.array(F.lit(0.0)))
+
+
 def lines_from_rows(rows: Column, centers: Column) -> Column:
     """Lines of rows of tokens: each token goes to the nearest centre; header and total rows, and rows without description or quantity, are left out."""
     columns = lambda r: F.transform(F.sequence(F.lit(0), F.greatest(F.size(centers) - 1, F.lit(0))), lambda i: F.filter(r, lambda t: nearest_center(t["cx"], centers) == i))

@@ -425,17 +425,22 @@ def recompute_totals(spark: SparkSession, d: str) -> DataFrame:
     return t.select("upload_id", F.col("t.totalAmount").alias("total_amount"), F.col("t.totalQty").alias("total_qty"))
 
 
+def rebuilt_responses(responses: DataFrame) -> DataFrame:
+    """Stored responses rebuilt from their tokens, with the quality and hashes that they record."""
+    docs = stored_documents(responses, meta=True)
+    t = docs.select("doc_id", "meta", K.rows_by_median(K.geometry_tokens(F.col("fullText"))).alias("rows"))
+    t = t.select("*", H.column_centers_of(F.col("rows")).alias("centers"))
+    t = t.select("doc_id", "meta", K.full_text(F.col("rows")).alias("text"), H.lines_from_rows(F.col("rows"), F.col("centers")).alias("lines"))
+    return H.build_responses(t.select(
+        "doc_id", "text", "lines", F.col("meta.quality.focus").alias("focus"), F.col("meta.quality.glare").alias("glare"), F.col("meta.ocrConfidence").alias("ocr_confidence"),
+        F.col("meta.uploadHash").alias("upload_hash"), F.col("meta.phash").alias("phash"),
+    ))
+
+
 @query()
 def rich_responses(spark: SparkSession, d: str) -> DataFrame:
     """Stored responses rebuilt from their tokens: rows, columns by exact centres, lines, totals and warnings."""
-    docs = stored_documents(read_table(spark, d, "ocr_responses"))
-    t = docs.select("doc_id", K.geometry_tokens(F.col("fullText")).alias("tokens"))
-    t = t.select("doc_id", K.rows_by_median(F.col("tokens")).alias("rows"))
-    wide = F.filter("rows", lambda r: F.size(r) >= 4)
-    centers = F.coalesce(F.transform(F.get(wide, F.lit(0)), lambda x: x["cx"]), F.array(F.lit(0.0)))
-    t = t.select("doc_id", K.full_text(F.col("rows")).alias("text"), H.lines_from_rows(F.col("rows"), centers).alias("lines"))
-    quality = (F.lit(None).cast("double").alias(c) for c in ("focus", "glare", "ocr_confidence"))
-    whole = H.build_responses(t.select("*", *quality, F.lit("").alias("upload_hash"), F.lit("").alias("phash")))
+    whole = rebuilt_responses(read_table(spark, d, "ocr_responses"))
     return whole.select("doc_id", F.size("lines").alias("n_lines"), "totals.*", F.size("warnings").alias("n_warnings"))
 
 

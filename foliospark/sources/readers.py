@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators.nested import find_response
 from foliospark.operators.quality import upload_status
-from foliospark.schemas import OCR_DOCUMENT, TOKEN
+from foliospark.schemas import META, OCR_DOCUMENT, TOKEN
 
 TOKEN_ROWS = f"doc_id bigint, page int, idx int, {TOKEN}"
 CELL_ROWS = "doc_id bigint, page int, cell int, bbox array<int>, text string, conf double"
@@ -35,12 +35,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OCR_DOCUMENT).option("multiLine", True).json(path)
 
 
-def stored_documents(responses: DataFrame) -> DataFrame:
-    """``doc_id, fullText`` of stored JSON responses, under any wrapping; unreadable ones give no row.
+def stored_documents(responses: DataFrame, meta: bool = False) -> DataFrame:
+    """``doc_id, fullText`` of stored JSON responses, under any wrapping, with ``meta`` if asked for; unreadable ones give no row.
 
     Boxes given as four numbers become four points.  A repeated id gives one row.
     """
-    schema = "doc_id bigint, fullText string"
+    schema = "doc_id bigint, fullText string, meta string"
 
     def unwrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -50,13 +50,14 @@ def stored_documents(responses: DataFrame) -> DataFrame:
             for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if (doc := find_response(p)) is not None:
                     tokens = doc.get("fullText") or []
-                    out.append((i, json.dumps([_four_points(t) for t in (tokens if isinstance(tokens, list) else [tokens]) if isinstance(t, dict) and t], ensure_ascii=False)))
+                    out.append((i, json.dumps([_four_points(t) for t in (tokens if isinstance(tokens, list) else [tokens]) if isinstance(t, dict) and t], ensure_ascii=False), json.dumps(doc["meta"]) if meta and isinstance(doc.get("meta"), dict) else None))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["doc_id", "fullText"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], ["doc_id", "fullText", "meta"])
 
     texts = responses.where("response_id is not null and payload is not null").select("response_id", "payload").mapInArrow(unwrap, schema)
-    once = texts.groupBy("doc_id").agg(F.min("fullText").alias("fullText"))
-    return once.select("doc_id", F.from_json("fullText", OCR_DOCUMENT.split("fullText ", 1)[1]).alias("fullText"))
+    once = texts.groupBy("doc_id").agg(F.min(F.struct("fullText", "meta") if meta else F.struct("fullText")).alias("x"))
+    tokens = F.from_json("x.fullText", OCR_DOCUMENT.split("fullText ", 1)[1]).alias("fullText")
+    return once.select("doc_id", tokens, *([F.from_json("x.meta", f"struct<{META}>").alias("meta")] if meta else []))
 
 
 def _four_points(token: dict) -> dict:

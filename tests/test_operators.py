@@ -1,5 +1,6 @@
 """Tokens, tables, amounts, images, clusters, sources and streams on small fixtures."""
 
+import json
 import statistics
 from decimal import Decimal as D
 
@@ -17,6 +18,7 @@ from foliospark.operators import rich as H
 from foliospark.operators import table as T
 from foliospark.operators import tokens as K
 from foliospark.operators.clusters import best_centers, density_labels
+from foliospark.plans import reference
 from foliospark.schemas import OCR_DOCUMENT, RESPONSE
 from foliospark.sources.readers import apply_adapter, documents_of, read_documents, read_images, read_uploads, stored_documents
 from foliospark.streaming.dedup import first_deliveries, windowed
@@ -234,3 +236,30 @@ def test_cells_and_rich_lines(spark):
     t = r["totals"]
     assert (t["net"], t["tax"], t["gross"], t["cgst"], t["igst"], t["reconciled"]) == (D("13800.00"), D("2484.00"), D("16284.00"), D("1242.00"), None, True)
     assert [w["code"] for w in r["warnings"]] == ["LOW_FOCUS", "LOW_CONF_FIELD"] and r["invoice"]["number"] == "7"
+
+
+def test_rebuilt_responses_match_brute_force(spark, tmp_path):
+    lefts, fields = [100, 420, 500, 600, 720], ["description", "hsn", "qty", "unitPrice", "gstRate"]
+    # The first row has no code, so its four centres aren't the columns'.
+    table = [("Clay brick No.1", None, "66 pcs", "810.93", "18"), ("Wheat flour coarse grade", "1101", "631 kg", "347.07", "5"), ("Twine", "5607", "3 pcs", "93.90", "12"), ("Steel wire rope", None, "16 m", "158.48", "18")]
+
+    def document(meta, rows):
+        tokens, y = [{"text": "Invoice No.: 8857", "bbox": [103, 50, 249, 70], "conf": 0.9}], 100
+        for r in rows:
+            tokens += [{"text": t, "bbox": [x, y, x + 10 * len(t), y + 20], "conf": 0.9} for x, t in zip(lefts, r) if t]
+            y += 40
+        return json.dumps({"meta": meta, "fullText": tokens})
+
+    quality = lambda f, g: {"ocrConfidence": 0.8, "quality": {"focus": f, "glare": g}, "uploadHash": "ab", "phash": "cd"}
+    given = {1: (quality(50.0, 0.01), table), 2: (quality(200.0, 0.2), table), 3: (quality(None, None), table[1:]), 4: (None, [])}
+    stored = spark.createDataFrame([(i, document(*x)) for i, x in given.items()], "response_id bigint, payload string")
+    got = {r["doc_id"]: r for r in reference.rebuilt_responses(stored).collect()}
+    for i, (meta, rows) in given.items():
+        want = [(t[0], t[1], *(float(t[k].split()[0]) for k in (2, 3)), float(t[4]) / 100) for t in rows]
+        assert [tuple(x["lines"][k] for k in fields) for x in got[i]["lines"]] == want
+        q = (meta or {}).get("quality", {})
+        doubts = ["LOW_FOCUS"] * ((q.get("focus") or 99) < 80) + ["HIGH_GLARE"] * ((q.get("glare") or 0) > 0.08)
+        assert [w["code"] for w in got[i]["warnings"]] == doubts
+    assert (got[1]["meta"]["ocrConfidence"], got[1]["meta"]["uploadHash"], got[1]["meta"]["quality"]["focus"]) == (0.8, "ab", 50.0)
+    stored.write.parquet(str(tmp_path / "ocr_responses.parquet"))
+    assert {r["doc_id"]: (r["n_lines"], r["n_warnings"]) for r in reference.rich_responses(spark, str(tmp_path)).collect()} == {1: (4, 1), 2: (4, 1), 3: (3, 0), 4: (0, 0)}
