@@ -251,6 +251,33 @@ def normalize_quantities(lines: DataFrame, unit_codes: DataFrame) -> DataFrame:
     return parsed.groupBy("line_id").agg(F.min(F.struct("base_unit", "base_qty")).alias("a")).select("line_id", "a.base_unit", "a.base_qty")
 
 
+def recorded_number(value: str | None, raw: str | None, factors: dict) -> float | None:
+    """The number that a line records, from ``value``, else from ``raw``; further parts are added in the unit of the first, as 6 kilo 500 grams."""
+    read = read_amount(value)
+    if read is None:
+        read = read_amount(raw)
+    if read is None:
+        return None
+    total, own = read[0][0], unit_kind(read[0][1])
+    for number, text in read[1:]:
+        more = unit_kind(text)
+        if own and more and own[0] == more[0] == "unit" and own[1] in factors and more[1] in factors and factors[own[1]][0] == factors[more[1]][0]:
+            total += number * more[2] * factors[more[1]][1] / (own[2] * factors[own[1]][1])
+    return float(total)
+
+
+def recorded_history(lines: DataFrame, factors: dict) -> DataFrame:
+    """``source, at, value`` of lines with ``source, at, qty_value, qty_raw``: the number that each records, null without one."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbers = [recorded_number(v, r, factors) for v, r in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.float64())], ["source", "at", "value"])
+
+    src = lines.select(F.col("source").cast("string"), F.col("at").cast("bigint"), F.col("qty_value").cast("string"), F.col("qty_raw").cast("string"))
+    return src.mapInArrow(read, "source string, at bigint, value double")
+
+
 def penalised_segments(values: np.ndarray, penalty: float) -> list[int]:
     """Starts of the segments of the exact penalised least-squares segmentation of ``values``.
 

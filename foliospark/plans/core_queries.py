@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators.nested import child_records, label_nodes
-from foliospark.operators.quantities import normalize_quantities, unit_factors, unit_shifts
+from foliospark.operators.quantities import normalize_quantities, recorded_history, unit_factors, unit_shifts
 from foliospark.runtime import read_table
 
 
@@ -29,12 +29,12 @@ def p5_unit_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level shifts in the recorded quantities of each vendor and article."""
     lines = read_table(spark, sf_dir, "line_items").dropDuplicates(["line_id"])
     article = F.regexp_replace(F.lower(F.regexp_replace("description", r"^\d+ ", "")), r"^(\S+ \S+).*$", "$1")
-    history = lines.select(
-        F.concat_ws("|", F.coalesce(F.col("vendor_id").cast("string"), F.lit("-")), F.coalesce(article, F.lit("-"))).alias("source"),
-        F.col("line_id").alias("at"), F.expr(r"try_cast(regexp_extract(replace(qty_value, ',', ''), '([0-9]+[.]?[0-9]*)', 1) as double)").alias("value"),
-    )
-    known = sorted({float(f) for _, f, _ in unit_factors(read_table(spark, sf_dir, "unit_codes")).values() if f > 1})
-    return unit_shifts(history, known)
+    recorded = lines.select(
+        F.concat_ws("|", F.coalesce(F.col("vendor_id").cast("string"), F.lit("-")), F.coalesce(article, F.lit("-"))).alias("source"), F.col("line_id").alias("at"), "qty_value", "qty_raw"
+    )
+    factors = unit_factors(read_table(spark, sf_dir, "unit_codes"))
+    known = sorted({float(f) for _, f, _ in factors.values() if f > 1})
+    return unit_shifts(recorded_history(recorded, factors), known)
 
 
 QUERIES = {"p4_found": p4_found, "p4_nodes": p4_nodes, "p5_found": p5_found, "p5_unit_shifts": p5_unit_shifts}

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from foliospark.operators.quantities import Segmenter, _amount, content_of, normalize_quantities, penalised_segments, plain_number, read_amount, unit_factors, unit_kind, unit_shifts
+from foliospark.plans.core_queries import p5_unit_shifts
 
 UNITS = "/root/testdata/sf0.001/unit_codes.parquet"
 
@@ -123,3 +124,12 @@ def test_search_in_steps_equals_the_whole():
             got += search.settled() if i % 100 == 0 else []
         got += search.rest()
         assert [g[0] for g in got] == penalised_segments(x, penalty) and sum(g[2] for g in got) == n
+
+
+def test_history_has_the_recorded_numbers(spark, tmp_path):
+    rows = [("24,5", None, 24.5), ("1,250", None, 1250.0), ("19*5 m", None, 95.0), ("9¼", None, 9.25), (None, "14 kg", 14.0), ("nil", "3,1 kg", 3.1), ("I60", None, 160.0), ("6 kilo 500 grams", None, 6.5), (None, None, None)]
+    lines = spark.createDataFrame([(i, i, "Clay brick", v, r) for i, (v, r, _) in enumerate(rows)], "line_id bigint, vendor_id bigint, description string, qty_value string, qty_raw string")
+    lines.write.parquet(str(tmp_path / "line_items.parquet"))
+    spark.read.parquet(UNITS).write.parquet(str(tmp_path / "unit_codes.parquet"))
+    got = {r["first_at"]: r["level"] for r in p5_unit_shifts(spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(np.log(want)) for i, (_, _, want) in enumerate(rows) if want}
