@@ -253,7 +253,8 @@ def place(read: DataFrame, towns: dict[str, str]) -> DataFrame:
                 elif pin3 in towns:
                     area = pin3
                     town = next((w for w in own if len(w) > 3 and edits(w, towns[pin3], 3) <= 3 and len(own) > 1), None)
-                if not area and len(own) > 2 and (near := next(((w, t) for w in reversed(own) if (t := town_like(w))), None)):
+                # Of two words one must be left that can be a whole street, run together.
+                if not area and len(own) > 1 and (near := next(((w, t) for w in reversed(own) if (len(own) > 2 or len(own[own[0] == w]) > 8) and (t := town_like(w))), None)):
                     town, area = near[0], by_name[near[1]]
                 if not area:
                     area = pin3

@@ -112,3 +112,13 @@ def test_addresses_edges(spark):
 def test_reading(text, unit, number, kind):
     p = AD.read_address(text)
     assert (p["unit"], p["number"], p["kind"]) == (unit, number, kind)
+
+
+def test_misspelt_town_beside_a_run_together_street(spark):
+    # No postal code, the town misspelt, the street one word with an edit of its own: only the town's streets can settle it.
+    odd = ["386 ZELBETTIRBUMEK MG., FITNOR GUNJ, ZUZEKGON, KTP", "Zuzekgoan; Fitnor Gunj; Zelbettirbumka Marg #386"]
+    # Two words of a street in no town are a street still.
+    street = ["386, Zelbet Tirbumak Marg"]
+    pairs = {tuple(r) for r in AD.same_addresses(cards(spark, PLACE + odd + street, "entity_address")).collect()}
+    n = len(PLACE + odd + street)
+    assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n)}
