@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,16 +71,19 @@ def similar_pairs(asking: DataFrame, indexed: DataFrame, most: Callable[[int], i
     return pairs.withColumn("d", F.levenshtein("s", "t", widest)).where((F.col("d") >= 0) & (F.col("d") <= k)).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, vertices: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id, component``: the connected component of every vertex, named by its smallest id.
 
     Each round takes the smallest label around a vertex, then the label of that label, so rounds grow with the logarithm of a component's
-    width.  Labels and edges stay distributed; only a count of changes reaches the driver.
+    width, and go on until no label changes; if ``rounds`` are given and don't suffice, that is an error.  Labels and edges stay distributed; only a count
+    of changes reaches the driver.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     touched = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component"))
     labels = cut(touched)
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"components still grow after {rounds} rounds")
         around = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(around, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("c"))
         jump = labels.select(F.col("id").alias("c"), F.col("component").alias("beyond"))

@@ -122,3 +122,11 @@ def test_misspelt_town_beside_a_run_together_street(spark):
     pairs = {tuple(r) for r in AD.same_addresses(cards(spark, PLACE + odd + street, "entity_address")).collect()}
     n = len(PLACE + odd + street)
     assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n)}
+
+
+def test_components_are_whole_or_an_error(spark):
+    n = 40
+    edges, vertices = spark.createDataFrame([(i, i + 1) for i in range(n)], "a bigint, b bigint"), spark.range(n + 2)
+    assert {r["id"]: r["component"] for r in L.components(edges, vertices).collect()} == {i: i if i > n else 0 for i in range(n + 2)}
+    with pytest.raises(RuntimeError):
+        L.components(edges, vertices, rounds=2)
