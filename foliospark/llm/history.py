@@ -1,31 +1,36 @@
-"""Repeats of uploads against everything accepted before.
+"""Repeats of uploads against everything accepted before, through suffix arrays of batches.
 
-A perceptual hash is a text of four 16-bit symbols, read in a ring.  A batch's texts together give one immutable suffix array: all
-suffixes, one for each symbol, in sorted order.  New texts look their symbols up by binary search; of two texts that differ
-in at most six bits, some symbol differs in at most one, so each symbol and its one-bit variants are looked up.  What a match
-covers of the record, 58 bits of 64 or more, decides.  Segments of equal rank merge, so a history of n batches is held in O(log n) arrays.
+A perceptual hash is a text of four 16-bit symbols, an upload hash one of sixteen.  The texts of what was accepted together are one concatenated text; its suffix
+array is kept as the sorted leading 64 bits of every suffix beside the id of the record that it belongs to.  New texts look their substrings up by binary search:
+
+* Of two perceptual hashes within six bits one symbol differs in at most one bit, so each symbol and its one-bit variants are looked up.  What a match, taken on
+  over the whole record, covers of it decides: 58 bits of 64 or more.
+* A symbol that more than ``DENSE`` suffixes begin with says too little.  Its suffixes stand in the array a second time with each other symbol behind it, and, if
+  two symbols are as frequent, a third time: a longer match with up to two flips, then three, is looked up there.  No range that is scanned grows with the history.
+* An upload hash is covered whole by one match of sixteen symbols.
+
+The arrays are immutable and merge logarithmically; see ``history_store``.
 """
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
+from collections.abc import Callable
+from functools import lru_cache
+from itertools import combinations, permutations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.runtime import cut, spread
-
 WORDS, BITS = 4, 16
-#: Suffixes with one leading symbol beyond which the symbols behind it are looked up too.
-DENSE = 4096
-#: Rows of one task's share of a key.
-BLOCK_ROWS = 400_000
+#: Suffixes of one beginning beyond which longer matches are looked up instead.
+DENSE = 32_768
 NONE = np.int64(2**63 - 1)
+#: Classes of suffixes: the symbols that lead, in order.  Behind them stand upload hashes and ids.
+ORDERS: dict[int, tuple[int, ...]] = {i: o for i, o in enumerate([o for n in (1, 2, 3) for o in permutations(range(WORDS), n)])}
+CLASS_OF = {o: i for i, o in ORDERS.items()}
+HASH, ID = 100, 101
 _CHUNK = 1 << 21
-_ONE = np.uint64(1)
 
 
 def canonical_hex(value: Column, digits: int) -> Column:
@@ -47,147 +52,142 @@ def hex_to_long(text: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
-class SuffixSegments:
-    """Immutable suffix arrays of batches, merged logarithmically.
-
-    A segment is the sorted array of its suffixes, each a ring rotation of a 64-bit text that begins with the looked-up symbol, with the
-    smallest id of each.  ``add`` appends a batch's segment; while the newest two are of one rank they become one.
-    """
-
-    def __init__(self) -> None:
-        self.segments: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, suffixes: np.ndarray, ids: np.ndarray) -> None:
-        order = np.lexsort((ids, suffixes))
-        self.segments.append((suffixes[order], ids[order]))
-        while len(self.segments) > 1 and len(self.segments[-2][0]) < 2 * len(self.segments[-1][0]):
-            (a, ai), (b, bi) = self.segments.pop(-2), self.segments.pop()
-            at = np.searchsorted(a, b, side="right")
-            self.segments.append((np.insert(a, at, b), np.insert(ai, at, bi)))
-
-    def earliest(self, queries: np.ndarray, before: np.ndarray, variants: np.ndarray, most: int) -> np.ndarray:
-        """For each query the smallest id below ``before`` of a text within ``most`` bits whose first symbol is the query's with a variant's bits flipped."""
-        best = np.full(len(queries), NONE)
-        for suffixes, ids in self.segments:
-            for flip in variants:
-                low = (queries ^ flip) & ~np.uint64(0xFFFFFFFFFFFF)
-                lo = np.searchsorted(suffixes, low, side="left")
-                hi = np.searchsorted(suffixes, low | np.uint64(0xFFFFFFFFFFFF), side="right")
-                dense = hi - lo > DENSE
-                _scan(suffixes, ids, queries, before, np.flatnonzero((hi > lo) & ~dense), lo, hi, most, best)
-                for a, b in sorted(set(zip(lo[dense].tolist(), hi[dense].tolist()))):
-                    rows = np.flatnonzero(dense & (lo == a))
-                    best[rows] = np.minimum(best[rows], _behind(suffixes[a:b], ids[a:b], queries[rows], before[rows], most))
-        return best
-
-
-def _scan(suffixes: np.ndarray, ids: np.ndarray, queries: np.ndarray, before: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int, best: np.ndarray) -> None:
-    """Lowers ``best`` by the covered records of the ranges lo..hi of ``rows``, in bounded pieces."""
-    sizes = (hi - lo)[rows]
+def full_order(order: tuple[int, ...]) -> tuple[int, ...]:
+    """All four symbols: those of ``order``, then the others from behind the last on, in a ring."""
+    last = order[-1]
+    return order + tuple(w for w in ((last + i) % WORDS for i in range(1, WORDS)) if w not in order)
+
+
+def suffix_column(value: Column, order: tuple[int, ...]) -> Column:
+    """The symbols of a 64-bit value in the order of a class, as a number that sorts like the text."""
+    out = F.lit(0).cast("bigint")
+    for at, w in enumerate(full_order(order)):
+        symbol = F.shiftrightunsigned(value, BITS * (WORDS - 1 - w)).bitwiseAND(F.lit(0xFFFF))
+        out = out.bitwiseOR(F.shiftleft(symbol, BITS * (WORDS - 1 - at)))
+    return sortable(out)
+
+
+def sortable(value: Column) -> Column:
+    """Signed numbers in the order of the unsigned ones of the same bits."""
+    return value.bitwiseXOR(F.lit(-(2**63)).cast("bigint"))
+
+
+def reorder(suffix: np.ndarray, had: tuple[int, ...], wanted: tuple[int, ...]) -> np.ndarray:
+    """Suffixes of one class as those of another."""
+    u = suffix.view(np.uint64) ^ np.uint64(1 << 63)
+    out = np.zeros_like(u)
+    place = {w: at for at, w in enumerate(full_order(had))}
+    for at, w in enumerate(full_order(wanted)):
+        out |= ((u >> np.uint64(BITS * (WORDS - 1 - place[w]))) & np.uint64(0xFFFF)) << np.uint64(BITS * (WORDS - 1 - at))
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
+@lru_cache(maxsize=32)
+def flips(most: int, place: int) -> np.ndarray:
+    """Masks of at most ``most`` flipped bits of the symbol at ``place``."""
+    shift = BITS * (WORDS - 1 - place)
+    return np.array([sum(1 << (i + shift) for i in x) for k in range(most + 1) for x in combinations(range(BITS), k)], np.uint64).view(np.int64)
+
+
+class SuffixArray:
+    """The sorted suffixes of one class, in one or more chunks that follow each other; chunks may be mapped files."""
+
+    def __init__(self, chunks: list[tuple[int, int, Callable[[], tuple[np.ndarray, np.ndarray]]]]) -> None:
+        self.firsts = np.array([c[0] for c in chunks], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([c[1] for c in chunks])]).astype(np.int64)
+        self._load = [c[2] for c in chunks]
+        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: Suffixes compared and positions looked up, for measurements.
+        self.compared = self.looked_up = 0
+
+    def chunk(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self._held:
+            self._held[i] = self._load[i]()
+        return self._held[i]
+
+    def find(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Where each of ``values`` belongs among all suffixes."""
+        self.looked_up += len(values)
+        which = np.maximum(np.searchsorted(self.firsts, values, side=side) - 1, 0)
+        out = np.empty(len(values), np.int64)
+        for c in np.unique(which):
+            rows = np.flatnonzero(which == c)
+            out[rows] = self.starts[c] + np.searchsorted(self.chunk(int(c))[0], values[rows], side=side)
+        return out
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes and record ids at positions."""
+        self.compared += len(at)
+        if len(self._load) == 1:
+            s, i = self.chunk(0)
+            return s[at], i[at]
+        which = np.searchsorted(self.starts, at, side="right") - 1
+        s, i = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        for c in np.unique(which):
+            rows = np.flatnonzero(which == c)
+            a, b = self.chunk(int(c))
+            s[rows], i[rows] = a[at[rows] - self.starts[c]], b[at[rows] - self.starts[c]]
+        return s, i
+
+
+def lower_by_coverage(array: SuffixArray, asked: np.ndarray, before: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: int, best: np.ndarray) -> None:
+    """Lowers ``best`` of ``rows`` to the smallest id below ``before`` among the records of their ranges that are covered but for ``most`` bits, in bounded pieces."""
+    sizes = hi - lo
     ends = np.cumsum(sizes)
     a = 0
     while a < len(rows):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _CHUNK, side="right")))
-        part, n = rows[a:b], sizes[a:b]
-        who = np.repeat(part, n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)
-        covered = (np.bitwise_count(suffixes[at] ^ queries[who]) <= most) & (ids[at] < before[who])
-        np.minimum.at(best, who[covered], ids[at[covered]])
+        n = sizes[a:b]
+        who = np.repeat(np.arange(a, b), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
+        s, ids = array.take(at)
+        good = (np.bitwise_count((s ^ asked[who]).view(np.uint64)) <= most) & (ids < before[who])
+        np.minimum.at(best, rows[who[good]], ids[good])
         a = b
 
 
-def _behind(suffixes: np.ndarray, ids: np.ndarray, queries: np.ndarray, before: np.ndarray, most: int) -> np.ndarray:
-    """As ``earliest`` within suffixes of one first symbol, by lookups of the three symbols behind it with up to a third of the flips."""
-    best = np.full(len(queries), NONE)
-    flips = np.array([sum(1 << i for i in x) for k in range(most // 3 + 1) for x in combinations(range(BITS), k)], np.uint64)
-    for word in range(1, WORDS):
-        turn = np.uint64(BITS * word)
-        ring = lambda x: (x << turn) | (x >> (np.uint64(64) - turn))  # noqa: B023, E731
-        s = ring(suffixes)
-        order = np.argsort(s, kind="stable")
-        s, i, q = s[order], ids[order], ring(queries)
-        for flip in flips:
-            low = (q ^ (flip << np.uint64(48))) & ~np.uint64(0xFFFFFFFFFFFF)
-            lo, hi = np.searchsorted(s, low, side="left"), np.searchsorted(s, low | np.uint64(0xFFFFFFFFFFFF), side="right")
-            _scan(s, i, q, before, np.flatnonzero(hi > lo), lo, hi, most, best)
-    return best
-
-
-def near_firsts(values: DataFrame, most: int = 6) -> DataFrame:
-    """For each distinct 64-bit ``value`` first seen as ``first_id`` in ``batch``: ``value, near_id``, the smallest first_id below its own of a value within ``most`` bits.
+def earliest(arrays: dict[int, SuffixArray], order: tuple[int, ...], read: np.ndarray, true: np.ndarray, before: np.ndarray, most: int, dense: int = DENSE) -> np.ndarray:
+    """For each query, a suffix of class ``order``, the smallest id below ``before`` of a record within ``most`` bits that begins as the query does.
 
-    Values without such a neighbour give no row.  ``most`` is at most 7, for then some symbol differs in at most one bit.  Each
-    symbol's leading bits are the key of a task; a key of many values is cut into blocks, which share its lookups.
+    ``read`` is what is looked up, its last leading symbol with an equal share of ``most`` flips over the symbols that were not yet matched; ``true``
+    is the text that the whole record is compared with.  Beginnings of more than ``dense`` suffixes are read on with each other symbol.
     """
-    if not 0 <= most <= 7:
-        raise ValueError("most must be from 0 to 7")
-    spark = values.sparkSession
-    values = cut(values.select("value", "first_id", "batch"))
-    count = values.count()
-    lead = min(12, max(3, math.ceil(math.log2(max(count, 1) / 40_000)) if count > 40_000 else 3))
-    ring = lambda p: F.col("value") if p == 0 else F.shiftleft("value", BITS * p).bitwiseOR(F.shiftrightunsigned("value", 64 - BITS * p))
-    suffixes = values.select(
-        F.explode(F.array(*(F.struct(F.lit(p).alias("p"), ring(p).alias("s")) for p in range(WORDS)))).alias("x"), "value", "first_id", "batch"
-    ).select((F.lit(1 << lead) * F.col("x.p") + F.shiftrightunsigned(F.col("x.s"), 64 - lead).cast("int")).cast("int").alias("key"), F.col("x.s").alias("s"), "first_id", "batch")
-    # At most 4 x 4096 counts.
-    hot = {r[0]: math.ceil(r[1] / BLOCK_ROWS) for r in suffixes.groupBy("key").count().where(f"count > {BLOCK_ROWS}").collect()}
-    blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv)), F.col("key")), F.lit(1)) if hot else F.lit(1)
-    held = suffixes.withColumn("block", F.pmod(F.xxhash64("s"), blocks).cast("int")).withColumn("role", F.lit(0))
-    # A query goes to its own key, and for each leading bit to the key with that bit flipped.
-    asked = suffixes.select(
-        F.explode(F.array(F.struct(F.col("key"), F.lit(1).alias("role")), *(F.struct(F.col("key").bitwiseXOR(F.lit(1 << b)).alias("key"), F.lit(2 + b).alias("role")) for b in range(lead)))).alias("x"),
-        "s", "first_id", "batch",
-    ).select("x.key", "s", "first_id", "batch", "x.role").withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    own = np.array([0] + [1 << (48 + i) for i in range(BITS - lead)], np.uint64)
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, ids, batch, role = pdf["s"].to_numpy().view(np.uint64), pdf["first_id"].to_numpy(), pdf["batch"].to_numpy(), pdf["role"].to_numpy()
-        key = int(pdf["key"].iloc[0])
-        index, found = SuffixSegments(), []
-        for b in np.unique(batch):
-            now = batch == b
-            if (new := now & (role == 0)).any():
-                index.add(s[new], ids[new])
-            for r in np.unique(role[now]):
-                if r == 0:
-                    continue
-                rows = np.flatnonzero(now & (role == r))
-                variants = own if r == 1 else np.array([1 << (64 - lead + int(r) - 2)], np.uint64)
-                best = index.earliest(s[rows], ids[rows], variants, most)
-                hit = best < NONE
-                found.append((s[rows][hit], best[hit]))
-        turn = np.uint64(BITS * (key >> lead))
-        v = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
-        v = v if turn == 0 else (v >> turn) | (v << (np.uint64(64) - turn))
-        return pd.DataFrame({"value": v.view(np.int64), "near_id": np.concatenate([x for _, x in found]) if found else np.empty(0, np.int64)})
-
-    both = held.select("key", "block", "s", "first_id", "batch", "role").unionByName(asked.select("key", "block", "s", "first_id", "batch", "role"))
-    near = spread(both, "key", "block").groupBy("key", "block").applyInPandas(search, "value bigint, near_id bigint")
-    return near.groupBy("value").agg(F.min("near_id").alias("near_id"))
+    best = np.full(len(read), NONE)
+    array = arrays.get(CLASS_OF[order])
+    if array is None:
+        return best
+    depth = len(order)
+    tail = np.int64((1 << (BITS * (WORDS - depth))) - 1)
+    masks = flips(most // (WORDS + 1 - depth), depth - 1)
+    step = max(1, _CHUNK // len(masks))
+    for a in range(0, len(read), step):
+        part = read[a : a + step]
+        low = (part[:, None] ^ masks[None, :]).ravel() & ~tail
+        in_order = np.argsort(low, kind="stable")
+        lo, hi = np.empty_like(low), np.empty_like(low)
+        lo[in_order], hi[in_order] = array.find(low[in_order], "left"), array.find(low[in_order] | tail, "right")
+        who = np.repeat(np.arange(a, a + len(part)), len(masks))
+        wide = (hi - lo > dense) & (depth < WORDS - 1)
+        some = np.flatnonzero((hi > lo) & ~wide)
+        lower_by_coverage(array, true[who[some]], before[who[some]], who[some], lo[some], hi[some], most, best)
+        far = np.flatnonzero(wide)
+        for w in sorted(set(range(WORDS)) - set(order)) if len(far) else ():
+            longer, rows = (*order, w), who[far]
+            flipped = read[rows] ^ np.tile(masks, len(part))[far]
+            deeper = earliest(arrays, longer, reorder(flipped, order, longer), reorder(true[rows], order, longer), before[rows], most, dense)
+            np.minimum.at(best, rows, deeper)
+    return best
 
 
 def upload_marks(uploads: DataFrame) -> DataFrame:
-    """``upload_id, batch, mark``: the canonical hashes of every upload, one row each, null where they identify nothing."""
+    """``upload_id, kind, mark``: the canonical hashes of every upload, one row each; null where they identify nothing.
+
+    Rows without an id are left out.  Of rows that share an id the one of the smallest batch counts, a null batch as the smallest.
+    """
     rows = uploads.where("upload_id is not null").select(
         F.col("upload_id").cast("bigint"), F.coalesce(F.col("batch_id").cast("int"), F.lit(-1)).alias("batch"),
         canonical_hex(F.col("upload_hash"), 64).alias("h"), canonical_hex(F.col("phash"), 16).alias("p"),
     )
-    once = rows.groupBy("upload_id").agg(F.min(F.struct("batch", "h", "p")).alias("r")).select("upload_id", "r.batch", "r.h", "r.p")
-    return once.select("upload_id", "batch", F.explode(F.array("h", "p")).alias("mark"))
-
-
-def find_repeats(uploads: DataFrame, most: int = 6) -> DataFrame:
-    """``first_upload_id, upload_id`` of every upload that repeats an earlier one, with the smallest upload_id it repeats.
-
-    Reads ``upload_id``, ``batch_id``, ``upload_hash`` and ``phash``.  Two uploads are repeats if their hashes are one 256-bit value or their perceptual
-    hashes differ in at most ``most`` bits; earlier means a smaller id.  Rows without an id are left out.  Of rows that share an id the one
-    of the smallest batch counts.  A null batch counts as the first.  Equal values collapse before any search, so any share of all uploads may
-    carry one value.
-    """
-    marks = cut(upload_marks(uploads).where("mark is not null"))
-    firsts = marks.groupBy("mark").agg(F.min("upload_id").alias("first_id"), F.min("batch").alias("batch"))
-    texts = firsts.where("length(mark) = 16").select(hex_to_long(F.col("mark")).alias("value"), "first_id", "batch")
-    near = near_firsts(texts, most).select(F.lower(F.lpad(F.hex("value"), 16, "0")).alias("mark"), F.col("near_id").alias("first_id"))
-    earliest = firsts.select("mark", "first_id").unionByName(near).groupBy("mark").agg(F.min("first_id").alias("first_id"))
-    found = marks.join(earliest, "mark").where("first_id < upload_id")
-    return found.groupBy("upload_id").agg(F.min("first_id").alias("first_upload_id")).select("first_upload_id", "upload_id")
+    once = rows.groupBy("upload_id").agg(F.min(F.struct("batch", "h", "p")).alias("r"))
+    mark = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("mark"))
+    return once.select("upload_id", F.explode(F.array(mark(HASH, "r.h"), mark(0, "r.p"))).alias("m")).select("upload_id", "m.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.addresses import same_addresses
-from foliospark.llm.history import find_repeats
+from foliospark.llm.history_store import find_repeats
 from foliospark.llm.mixing import mix_pages
 from foliospark.llm.names import same_names
 from foliospark.llm.packing import pack_documents
