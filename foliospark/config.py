@@ -16,6 +16,11 @@ class Config:
     max_glare: float = 0.08
     reject_if_bad_quality: bool = True
     min_edge: int = 1600
+    min_focus_pdf: float = 50.0
+    max_glare_pdf: float = 0.12
+    min_edge_pdf: int = 1400
+    min_field_confidence: float = 0.7
+    min_line_confidence: float = 0.6
     handwriting_threshold: float = 0.6
     row_tolerance: float = 16.0
     column_margin: float = 12.0

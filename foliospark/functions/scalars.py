@@ -100,10 +100,13 @@ def group1(pattern: str, text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
 
+# Labels of headers and footers that end a description.
+NOISE_LABELS = ("HSN/SAC", r"Invoice No\.?", "Tax Invoice", "This is a Computer Generated Invoice", "continued to page number", r"E\.&\s*O\.E", "GSTIN", "Amount Chargeable")
+
+
 def clean_description(text: Column) -> Column:
-    """A description without labels that run on to its end, without an invoice number, blanks single; empty gives null."""
-    t = F.regexp_replace(text, r"(?i)\b(?:hsn/sac|hsn code|gstin|amount in words|e\. ?& ?o\. ?e).*$", "")
-    t = F.regexp_replace(t, r"(?i)\binvoice\s*no\.?\s*:?\s*\S+", "")
+    """A description without what a header's or footer's label begins, blanks single; empty gives null."""
+    t = F.regexp_replace(text, r"(?i)\b(?:" + "|".join(NOISE_LABELS) + r")\b.*", "")
     return F.nullif(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(""))
 
 
@@ -112,11 +115,6 @@ def valid_gstin(text: Column) -> Column:
     return F.coalesce(text.rlike(GSTIN), F.lit(False))
 
 
-def column_text(parts: Column) -> Column:
-    """Texts joined by blanks."""
-    return F.trim(F.concat_ws(" ", parts))
-
-
 def sha256(content: Column) -> Column:
     """Hex digest of binary content."""
     return F.sha2(content, 256)

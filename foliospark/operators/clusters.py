@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from foliospark.runtime import spread
 
@@ -67,6 +68,21 @@ def cluster_tokens(tokens: DataFrame, eps: float = 200.0, doc: str = "doc_id") -
     return spread(placed, doc).sortWithinPartitions(doc, "idx").mapInPandas(label, f"{doc} bigint, idx int, label int")
 
 
+def cluster_labels(cx: Column, cy: Column, eps: float = 200.0) -> Column:
+    """Labels, as of ``cluster_tokens``, of the tokens of one row, from arrays of their centres; tokens without a centre are -1."""
+
+    def label(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(xs, ys):
+            a, b = np.array([] if x is None else x, float), np.array([] if y is None else y, float)
+            found, placed = np.full(len(a), -1), ~np.isnan(a) & ~np.isnan(b)
+            found[placed] = density_labels(a[placed], b[placed], eps) if placed.sum() > 1 else 0
+            out.append(found)
+        return pd.Series(out)
+
+    return F.pandas_udf(label, "array<int>")(cx, cy)
+
+
 def _documents(batches: Iterator[pd.DataFrame], doc: str) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
     """Batches of whole documents of a sorted partition, with the rows of each."""
     rest = None

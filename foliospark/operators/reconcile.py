@@ -44,12 +44,27 @@ def first_total(printed: Column, computed: Column) -> Column:
 
 
 def mend_price(price: Column, taxable: Column, quantity: Column) -> Column:
-    """struct(price, taxable): a missing price from taxable by quantity; both swapped if the price is over twice the taxable."""
-    derived = F.round(money(taxable) / F.nullif(quantity.cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)")), 2).cast(MONEY)
+    """struct(price, taxable) of a line with a whole ``quantity``: a missing price from taxable by quantity; both swapped if the price is over twice the taxable.
+
+    A line whose price by quantity is within 5 % of its taxable stays as it is, as does one without a quantity.
+    """
     p, t = money(price), money(taxable)
-    swap = (p > 2 * t) & (t > 0)
+    n = quantity.cast("int")
+    counted = F.coalesce(n > 0, F.lit(False)) & F.coalesce(t != 0, F.lit(False))
     gone = p.isNull() | (p == 0)
-    return F.struct(F.when(gone, derived).when(swap, t).otherwise(p).alias("price"), F.when(~gone & swap, p).otherwise(t).alias("taxable"))
+    near = F.abs(p * n - t).cast("double") / (t.cast("double") + 1e-6) < 0.05
+    swap = counted & ~gone & ~near & (p > 2 * t)
+    derived = F.round(t / F.nullif(n, F.lit(0)).cast("decimal(10,0)"), 2).cast(MONEY)
+    return F.struct(F.when(counted & gone, derived).when(swap, t).otherwise(p).alias("price"), F.when(swap, p).otherwise(t).alias("taxable"))
+
+
+# The rates that goods and services are taxed at.
+ALLOWED_RATES = ("0", "0.05", "0.12", "0.18", "0.28")
+
+
+def allowed_rate(rate: Column) -> Column:
+    """Whether a tax rate, as a fraction, is one of those that exist; null for null."""
+    return rate.cast("decimal(9,4)").isin(*(F.lit(r).cast("decimal(9,4)") for r in ALLOWED_RATES))
 
 
 def special_line(text: Column) -> Column:
@@ -75,3 +90,10 @@ def item_totals(items: Column) -> Column:
     amount = F.aggregate(items, F.lit(0).cast(MONEY), lambda a, x: (a + F.coalesce(x["taxableValue"].cast(MONEY), F.lit(0).cast(MONEY))).cast(MONEY))
     pieces = F.aggregate(items, F.lit(0), lambda a, x: a + F.coalesce(F.regexp_extract(x["quantity"], r"(\d+)", 1).try_cast("int"), F.lit(0)))
     return F.struct(amount.alias("totalAmount"), F.when(pieces > 0, F.concat(pieces.cast("string"), F.lit(" PCS"))).alias("totalQty"))
+
+
+def line_sums(lines: DataFrame, key: str, taxable: Column, quantity: Column) -> DataFrame:
+    """``key, total_amount, total_qty`` of line rows: as ``item_totals``, summed partially before the shuffle, so a document of any length takes no more than its sums."""
+    whole = F.coalesce(F.regexp_extract(quantity, r"(\d+)", 1).try_cast("int"), F.lit(0))
+    sums = lines.groupBy(key).agg(F.sum(F.coalesce(money(taxable), F.lit(0).cast(MONEY))).cast(MONEY).alias("total_amount"), F.sum(whole).alias("_n"))
+    return sums.select(key, "total_amount", F.when(F.col("_n") > 0, F.concat(F.col("_n").cast("string"), F.lit(" PCS"))).alias("total_qty"))

@@ -11,7 +11,7 @@ from foliospark.operators.clusters import best_centers
 from foliospark.operators.quality import line_warnings, warnings
 from foliospark.operators.reconcile import line_amounts, reconciled, split_tax
 from foliospark.operators.table import nearest_center
-from foliospark.operators.tokens import row_bucket
+from foliospark.operators.tokens import below_header, geometry_tokens, row_bucket, rows_by_average
 
 SKIP = r"(?i)description|\bqty\b|quantity|\bamount\b|\btotal\b|subtotal|\bs\.?no\b|\bsr\.?no\b"
 
@@ -62,6 +62,26 @@ def lines_from_rows(rows: Column, centers: Column) -> Column:
     return F.filter(lines, lambda x: x["description"].isNotNull() & (F.coalesce(x["qty"], F.lit(0.0)) > 0))
 
 
+LINE_ROWS = ("description", "hsn", "qty", "unit", "unitPrice", "gstRate")
+
+
+def extract_tables(documents: DataFrame, cells: DataFrame | None = None, band: float = 0.3) -> DataFrame:
+    """``doc_id, source, row, description, hsn, qty, unit, unitPrice, gstRate``: the lines of documents' tables, by the cheapest way that yields any.
+
+    ``documents`` has ``doc_id, fullText, height``, the height of the page (null: the lowest token's).  A document whose recognised ``cells`` (as ``lines_from_cells``) give lines takes those.  Of the others the tokens
+    below the header band make rows by running average, columns by exact centres, and lines by nearest centre.
+    """
+    t = documents.select("doc_id", geometry_tokens(F.col("fullText"), page_drop=float("inf")).alias("t"), "height")
+    if cells is not None:
+        found = lines_from_cells(cells).select("doc_id", F.lit("cells").alias("source"), "row", *LINE_ROWS)
+        t = t.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    height = F.coalesce(F.col("height").cast("double"), F.array_max(F.transform("t", lambda x: x["cy"])))
+    t = t.select("doc_id", rows_by_average(below_header(F.col("t"), height, band)).alias("rows"))
+    t = t.select("doc_id", "rows", column_centers_of(F.col("rows")).alias("centers")).select("doc_id", F.posexplode(lines_from_rows(F.col("rows"), F.col("centers"))).alias("row", "x"))
+    out = t.select("doc_id", F.lit("tokens").alias("source"), "row", *(F.col(f"x.{c}").alias(c) for c in LINE_ROWS))
+    return out if cells is None else found.unionByName(out)
+
+
 def lines_from_cells(cells: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Lines of recognised table cells (``bbox`` of four numbers, ``text``, ``conf``), one a row of cells.
 
@@ -90,19 +110,19 @@ def hull_of(tokens: Column) -> Column:
 
 
 def build_responses(documents: DataFrame) -> DataFrame:
-    """Whole responses of documents with ``doc_id, text, lines`` (as ``rich_line``), ``focus, glare, ocr_confidence, upload_hash, phash``.
+    """Whole responses of documents with ``doc_id, text, lines`` (as ``rich_line``), ``focus, glare, ocr_confidence, upload_hash, phash``; ``tail``, if there, is the text with the totals.
 
     Lines are recomputed, printed totals of the text take precedence over computed ones, and what is doubtful is listed.
     """
     money = "decimal(18,2)"
     d = documents.withColumn("computed", F.transform("lines", lambda x: line_amounts(x["qty"], x["unitPrice"], x["gstRate"])))
     total = lambda k: F.aggregate("computed", F.lit(0).cast(money), lambda a, x: (a + F.coalesce(x[k], F.lit(0).cast(money))).cast(money))
-    d = d.withColumn("sums", F.struct(*(total(k).alias(k) for k in ("net", "tax", "gross")))).withColumn("printed", fields.totals(F.col("text"))).withColumn("header", fields.header(F.col("text")))
+    d = d.withColumn("sums", F.struct(*(total(k).alias(k) for k in ("net", "tax", "gross")))).withColumn("printed", fields.totals(F.col("tail" if "tail" in documents.columns else "text"))).withColumn("header", fields.header(F.col("text")))
     split = split_tax(F.col("sums.tax"), F.col("header.placeOfSupply"))
     none = F.col("printed.cgst").isNull() & F.col("printed.sgst").isNull() & F.col("printed.igst").isNull()
     checked = reconciled(F.col("sums.gross"), F.col("printed.totalAmount"))
     totals = F.struct(
-        F.coalesce("printed.subTotal", "sums.net").alias("net"), F.coalesce((F.col("printed.cgst") + F.col("printed.sgst")).cast(money), F.col("printed.igst"), F.col("sums.tax")).alias("tax"), F.coalesce("printed.totalAmount", "sums.gross").alias("gross"),
+        F.coalesce("printed.subTotal", "sums.net").alias("net"), F.coalesce("printed.totalTax", "sums.tax").alias("tax"), F.coalesce("printed.totalAmount", "sums.gross").alias("gross"),
         *(F.when(none, split[k]).otherwise(F.col(f"printed.{k}")).alias(k) for k in ("cgst", "sgst", "igst")), checked["reconciled"].alias("reconciled"), F.coalesce("printed.roundOff", checked["delta"]).alias("roundOffDelta"),
     )
     found = F.concat(warnings(F.col("focus"), F.col("glare"), F.when(F.col("header.number").isNull(), F.lit(0.0)).otherwise(F.lit(0.8))), line_warnings(F.col("lines")))

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from foliospark.functions.scalars import amount, amount_in_text, clean_description, let, spaced_quantity
 from foliospark.operators.tokens import row_text, take_until
 
-# Words of a table's header, ends of a table, labels of fields.
-HEADER_WORDS = ("description", "hsn", "quantity", "qty", "rate", "amount", "price", "unit", "gst", "taxable", "item")
+# Words of a table's header.
+HEADER_WORDS = ("description", "hsn", "quantity", "qty", "rate", "amount", "unit price", "taxable")
+# Rows in which a header is sought, by two words, by quantity or code, by goods, by decimals, by a full row, and how many rows behind are looked at.
+HEADER_ROWS = {"words": (0, 30), "label": (0, 50), "goods": (0, 40), "decimals": (10, 40), "full": (8, 42)}
+ROWS_BEHIND = {"label": 9, "goods": 7}
+# Ends of a table, labels of fields.
 HEADER_ONLY = r"(?i)^\W*(?:(?:item\s+name|description(?:\s+of\s+goods)?|hsn(?:/sac|\s+code)?|quantity|qty|rate|amount|price|unit|gst|taxable|value|item|sl\.?\s*no\.?|s\.?\s*no\.?)\W*)+$"
 TOTALS = r"\b(?:total|sub total|amount chargeable|round off|tax amount|amount in words)\b"
 QUANTITY = r"(?i)(\d{1,6}(?:\.\d+)?\s*(?:pieces|pcs|bags?|kgs?|nos|units?|box(?:es)?)\b)"
@@ -53,22 +57,22 @@ def find_header(rows: Column) -> Column:
 
 
 def _header_of(facts: Column) -> Column:
-    def ahead(at: Column, count: int, test: Callable[[Column], Column]) -> Column:
-        hit = F.array_position(F.transform(F.slice(facts, at + 2, F.lit(count)), test), True).cast("int")
-        return F.when(hit > 0, at + hit).when(F.get(facts, at)["n"] >= 3, at)
-
     def found(at: Column, start: Callable[[Column], Column]) -> Column:
         return let(at, lambda h: F.when(h.isNotNull(), F.struct(h.cast("int").alias("header"), start(h).cast("int").alias("start"))))
 
-    def behind(label: Column, count: int, test: Callable[[Column], Column]) -> Column:
-        return let(label, lambda i: let(ahead(i, count, test), lambda h: F.when(h.isNotNull(), F.struct(h.cast("int").alias("header"), (i + 1).cast("int").alias("start")))))
+    def behind(label: Column, count: int, test: Callable[[Column], Column], least: int) -> Column:
+        def columns(at: Column) -> Column:
+            hit = F.array_position(F.transform(F.slice(facts, at + 2, F.lit(count)), test), True).cast("int")
+            return F.when(hit > 0, at + hit).when(F.get(facts, at)["n"] >= least, at)
+
+        return let(label, lambda i: F.when(i.isNotNull(), let(columns(i), lambda h: F.when(h.isNotNull(), F.struct(h.cast("int").alias("header"), (i + 1).cast("int").alias("start"))))))
 
     return F.coalesce(
-        found(_first(facts, lambda f: (f["score"] >= 2) & (f["n"] >= 3), 0, 30), lambda h: h + 1),
-        behind(_first(facts, lambda f: f["text"].rlike("quantity|hsn/sac|hsn code"), 0, 50), 9, lambda f: (f["numbers"] >= 2) & (f["n"] >= 3)),
-        behind(_first(facts, lambda f: f["text"].rlike("description of goods|item name"), 0, 40), 7, lambda f: f["n"] >= 4),
-        found(_first(facts, lambda f: (f["decimals"] >= 3) & (f["n"] >= 3), 10, 40), lambda h: h),
-        found(_first(facts, lambda f: f["n"] >= 4, 8, 42), lambda h: h),
+        found(_first(facts, lambda f: (f["score"] >= 2) & (f["n"] >= 3), *HEADER_ROWS["words"]), lambda h: h + 1),
+        behind(_first(facts, lambda f: f["text"].rlike("quantity|hsn/sac|hsn code"), *HEADER_ROWS["label"]), ROWS_BEHIND["label"], lambda f: (f["numbers"] >= 2) & (f["n"] >= 3), 3),
+        behind(_first(facts, lambda f: f["text"].rlike("description of goods|item name"), *HEADER_ROWS["goods"]), ROWS_BEHIND["goods"], lambda f: f["n"] >= 4, 0),
+        found(_first(facts, lambda f: (f["decimals"] >= 3) & (f["n"] >= 3), *HEADER_ROWS["decimals"]), lambda h: h),
+        found(_first(facts, lambda f: f["n"] >= 4, *HEADER_ROWS["full"]), lambda h: h),
     )
 
 
@@ -137,23 +141,27 @@ def parse_table(rows: Column, found: Column, margin: float = 12.0, narrowest: fl
     A row without an amount is a description line of the next row that has one, unless it is only figures.
     """
     body = take_until(F.slice(rows, found["start"] + 1, F.greatest(F.size(rows) - found["start"], F.lit(0))), TOTALS)
-    start = F.struct(F.array().cast("array<string>").alias("held"), F.array().cast(f"array<{ITEM}>").alias("items"))
-
-    def step(s: Column, r: Column) -> Column:
-        priced = F.exists(r["amounts"], lambda a: a.isNotNull())
-        held = F.when(r["text"].rlike(r"^[\d\s.,]+$") | r["text"].rlike(HEADER_ONLY) | (r["score"] >= 2), s["held"]).otherwise(F.concat(s["held"], F.array(r["text"])))
-        return F.struct(
-            F.when(priced, F.array().cast("array<string>")).otherwise(held).alias("held"),
-            F.when(priced, F.concat(s["items"], F.array(_item(r["columns"], r["amounts"], s["held"])))).otherwise(s["items"]).alias("items"),
-        )
+    held = lambda r: ~(r["text"].rlike(r"^[\d\s.,]+$") | r["text"].rlike(HEADER_ONLY) | (r["score"] >= 2))
 
     def items(bounds: Column) -> Column:
         read = F.transform(body, lambda r: let(row_columns(r, bounds), lambda c: F.struct(c.alias("columns"), F.transform(c, amount_in_text).alias("amounts"), row_text(r).alias("text"))))
-        scored = F.transform(read, lambda r: F.struct(r["columns"], r["amounts"], r["text"], keyword_score(r["text"]).alias("score")))
-        return F.aggregate(scored, start, step, lambda s: s["items"])
+        scored = F.transform(read, lambda r: F.struct(r["columns"].alias("columns"), r["amounts"].alias("amounts"), r["text"].alias("text"), keyword_score(r["text"]).alias("score")))
+        return let(scored, priced)
+
+    def priced(rs: Column) -> Column:
+        # An item is a row with an amount and the rows between it and the one before: the rows are cut at those places, none is carried along.
+        at = F.filter(F.transform(rs, lambda r, i: F.when(F.exists(r["amounts"], lambda a: a.isNotNull()), i)), lambda i: i.isNotNull())
+
+        def item(end: Column, before: Column) -> Column:
+            lines = F.transform(F.filter(F.slice(rs, before + 2, end - before - 1), held), lambda r: r["text"])
+            return let(F.get(rs, end), lambda r: _item(r["columns"], r["amounts"], lines))
+
+        return let(at, lambda ends: F.transform(ends, lambda end, k: item(end, F.coalesce(F.get(ends, k - 1), F.lit(-1)))))
 
     edges = column_bounds(F.transform(F.get(rows, found["header"]), lambda t: t["left"]), margin, narrowest)
-    return F.when(found.isNotNull(), let(edges, items)).otherwise(F.array().cast(f"array<{ITEM}>"))
+    # One column is no table; its lines are read as text.
+    several = found.isNotNull() & (F.size(F.get(rows, found["header"])) >= 3)
+    return F.when(several, let(edges, items)).otherwise(F.array().cast(f"array<{ITEM}>"))
 
 
 def parse_item_line(text: Column) -> Column:
@@ -193,32 +201,66 @@ def merge_lines(lines: Column, ahead: int = 2) -> Column:
     return F.aggregate(lines, start, step, lambda s: s["items"])
 
 
+# Words of a row that describes no goods.
+NO_GOODS = r"invoice|buyer|seller|gstin|state name|bill to"
+#: Rows before a transposed table's first field in which its names stand.
+ROWS_BEFORE = 10
+
+
+def _label(row: Column, pattern: str) -> Column:
+    return F.coalesce(F.lower(F.get(row, F.lit(0))["text"]).rlike("^(?:" + pattern + ")"), F.lit(False))
+
+
+def aligned_rows(rows: Column, within: float = 20.0, share: float = 0.8, look: int = 15, most: int = 5) -> Column:
+    """How many of the first ``most`` rows of three or more tokens, among the first ``look``, have the length of the first of them and ``share`` of their left edges ``within`` of its."""
+    wide = F.slice(F.filter(F.slice(rows, 1, look), lambda r: F.size(r) >= 3), 1, most)
+
+    def count(ws: Column) -> Column:
+        first = F.get(ws, F.lit(0))
+        near = lambda r: F.size(F.filter(F.zip_with(r, first, lambda a, b: F.abs(a["left"] - b["left"]) < within), lambda x: x))
+        return F.size(F.filter(F.slice(ws, 2, most), lambda r: (F.size(r) == F.size(first)) & (near(r) >= share * F.size(first))))
+
+    return let(wide, count)
+
+
 def is_transposed(rows: Column) -> Column:
-    """Whether a table has its fields as rows: at least two field labels lead rows that line up in columns."""
-    def leads(pattern: str) -> Column:
-        return F.exists(rows, lambda r: F.lower(F.get(r, F.lit(0))["text"]).rlike("^(?:" + pattern + ")") & (F.size(r) >= 3))
+    """Whether a table has its fields as rows: at least two field labels lead rows of three or more tokens, and of those rows one lines up with the first.
 
-    led = [leads(p) for p in FIELD_LABELS.values()]
-    return sum((F.coalesce(x, F.lit(False)).cast("int") for x in led), F.lit(0)) >= 2
+    Rows that line up alone are no evidence: those of an ordinary table do.
+    """
+    led = F.filter(rows, lambda r: (F.size(r) >= 3) & _label(r, "|".join(FIELD_LABELS.values())))
+    leads = lambda pattern: F.exists(led, lambda r: _label(r, pattern)).cast("int")
+    several = sum((leads(p) for p in FIELD_LABELS.values()), F.lit(0)) >= 2
+    return several & (aligned_rows(led) >= 1)
 
 
 def parse_transposed(rows: Column) -> Column:
-    """Flat items of a transposed table: item i takes the i-th figure of each field's row."""
-
-    def field(pattern: str) -> Column:
-        row = F.try_element_at(F.filter(rows, lambda r: F.lower(F.get(r, F.lit(0))["text"]).rlike("^(?:" + pattern + ")")), F.lit(1))
-        return F.transform(F.when(F.size(row) > 1, F.slice(row, F.lit(2), F.size(row) - 1)), lambda t: t["text"])
-
-    values = {k: F.coalesce(field(p), F.array().cast("array<string>")) for k, p in FIELD_LABELS.items()}
-    names = F.coalesce(field(r"description|item|particulars"), F.array().cast("array<string>"))
-    n = F.greatest(*(F.size(v) for v in values.values()), F.lit(1))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(F.get(names, i).alias("description"), F.get(values["hsn"], i).alias("hsn"), F.get(values["quantity"], i).alias("quantity"), amount(F.get(values["unitPrice"], i)).alias("unitPrice"), amount(F.get(values["taxableValue"], i)).alias("taxableValue")).cast(ITEM),
-    )
+    """Flat items of a transposed table: item i takes the i-th figure of each field's row, up to the totals.
+
+    Names stand in a row with a label, else in the last row of three or more tokens among the ten before the first field that speaks of no party or invoice.
+    """
+    anything = "|".join(FIELD_LABELS.values())
+
+    def items(rs: Column) -> Column:
+        first = F.array_position(F.transform(rs, lambda r: (F.size(r) >= 2) & _label(r, anything)), True).cast("int")
+        before = F.slice(rs, F.greatest(first - ROWS_BEFORE, F.lit(1)), F.least(first - 1, F.lit(ROWS_BEFORE)))
+        goods = F.when(first > 1, F.try_element_at(F.filter(before, lambda r: (F.size(r) >= 3) & ~F.lower(row_text(r)).rlike(NO_GOODS)), F.lit(-1)))
+
+        def field(pattern: str) -> Column:
+            row = F.try_element_at(F.filter(rs, lambda r: _label(r, pattern)), F.lit(1))
+            return F.transform(F.when(F.size(row) > 1, F.slice(row, F.lit(2), F.size(row) - 1)), lambda t: t["text"])
+
+        values = {k: F.coalesce(field(p), F.array().cast("array<string>")) for k, p in FIELD_LABELS.items()}
+        names = F.coalesce(field(r"description|item|particulars"), F.transform(goods, lambda t: t["text"]), F.array().cast("array<string>"))
+        n = F.greatest(*(F.size(v) for v in values.values()), F.lit(1))
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(F.get(names, i).alias("description"), F.get(values["hsn"], i).alias("hsn"), F.get(values["quantity"], i).alias("quantity"), amount(F.get(values["unitPrice"], i)).alias("unitPrice"), amount(F.get(values["taxableValue"], i)).alias("taxableValue")).cast(ITEM),
+        )
+
+    return let(take_until(rows, r"\b(?:total|sub total|amount chargeable)\b"), items)
 
 
 def valid_items(items: Column) -> Column:
     """Items that have a value, a price or a code."""
     return F.filter(items, lambda x: (F.coalesce(x["taxableValue"], F.lit(0)) != 0) | (F.coalesce(x["unitPrice"], F.lit(0)) != 0) | (F.coalesce(x["hsn"], F.lit("")) != ""))
-

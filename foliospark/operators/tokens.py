@@ -5,6 +5,8 @@ A document's tokens stay one array, so what depends on their order runs as highe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,55 +26,61 @@ def geometry_tokens(full_text: Column, page_drop: float = 1000.0) -> Column:
         F.transform(F.coalesce(full_text, F.array()), lambda t, i: F.struct(F.trim(t["text"]).alias("text"), t["bbox"].alias("bbox"), confidence(t["conf"], t["confidence"]).alias("conf"), i.alias("idx"))),
         lambda t: (F.length(t["text"]) > 0) & (F.size(t["bbox"]) > 0),
     )
-    measured = F.transform(kept, lambda t: F.struct(t["text"], t["conf"], center(t["bbox"])["cx"].alias("cx"), center(t["bbox"])["cy"].alias("cy"), extent(t["bbox"])["left"].alias("left"), t["idx"]))
-    start = F.struct(F.array().cast(f"array<{_TOKEN}>").alias("out"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("page"))
+    measured = F.transform(kept, lambda t: let(center(t["bbox"]), lambda c: F.struct(t["text"].alias("text"), t["conf"].alias("conf"), c["cx"].alias("cx"), c["cy"].alias("cy"), extent(t["bbox"])["left"].alias("left"), t["idx"].alias("idx"))))
+
+    def paged(ts: Column) -> Column:
+        falls = lambda t, i: let(F.get(ts, i - 1)["cy"], lambda last: F.when((i > 0) & (last > 0) & (t["cy"] < last - page_drop), i))
+        breaks = F.filter(F.transform(ts, falls), lambda i: i.isNotNull())
+        # What orders comes first, so that tokens sort by their natural order.
+        keyed = let(breaks, lambda bs: F.transform(ts, lambda t, i: F.struct(F.size(F.filter(bs, lambda b: b <= i)).alias("page"), t["cy"].alias("cy"), t["left"].alias("left"), t["idx"].alias("idx"), t["text"].alias("text"), t["conf"].alias("conf"), t["cx"].alias("cx"))))
+        return F.transform(F.array_sort(keyed), _token)
+
+    return let(measured, paged)
+
 
-    def step(s: Column, t: Column) -> Column:
-        page = s["page"] + F.when((s["last"] > 0) & (t["cy"] < s["last"] - page_drop), 1).otherwise(0)
-        token = F.struct(t["text"].alias("text"), t["conf"].alias("conf"), page.alias("page"), t["cx"].alias("cx"), t["cy"].alias("cy"), t["left"].alias("left"), t["idx"].alias("idx"))
-        return F.struct(F.concat(s["out"], F.array(token)).alias("out"), t["cy"].alias("last"), page.alias("page"))
+def _token(t: Column) -> Column:
+    return F.struct(*(t[k].alias(k) for k in ("text", "conf", "page", "cx", "cy", "left", "idx")))
 
-    paged = F.aggregate(measured, start, step, lambda s: s["out"])
-    return F.array_sort(paged, lambda a, b: _order(a, b, ("page", "cy", "left", "idx")))
 
+def _rows_from(tokens: Column, start: Column, step: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """Rows of sorted tokens, each sorted by left edge; ``step(state, token, tokens, i)`` gives the state behind token i, whose ``starts`` lists where rows begin.
+
+    The fold carries places only: no token is copied until rows are cut.
+    """
+
+    def cut(ts: Column) -> Column:
+        last = F.size(ts) - 1
+        starts = F.when(last >= 0, F.aggregate(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), start, lambda s, i: step(s, F.get(ts, i), ts, i), lambda s: s["starts"])).otherwise(F.array().cast("array<int>"))
+        sliced = let(starts, lambda at: F.transform(at, lambda a, k: F.slice(ts, a + 1, F.coalesce(F.get(at, k + 1), last + 1) - a)))
+        keyed = lambda r: F.transform(r, lambda t: F.struct(t["left"].alias("left"), t["idx"].alias("idx"), t["text"].alias("text"), t["conf"].alias("conf"), t["page"].alias("page"), t["cx"].alias("cx"), t["cy"].alias("cy")))
+        return F.transform(sliced, lambda r: F.transform(F.array_sort(keyed(r)), _token))
 
-def _order(a: Column, b: Column, keys: tuple[str, ...]) -> Column:
-    out = F.lit(0)
-    for k in reversed(keys):
-        out = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(out)
-    return out
+    return let(tokens, cut)
 
 
 def rows_by_median(tokens: Column, tolerance: float = 16.0) -> Column:
     """Rows of sorted tokens: a token joins the last row if its centre is within ``tolerance`` of that row's median; rows sorted by left edge."""
-    none = F.array().cast(f"array<{_TOKEN}>")
-    start = F.struct(F.array().cast(f"array<array<{_TOKEN}>>").alias("done"), none.alias("cur"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("first"))
 
-    def step(s: Column, t: Column) -> Column:
-        cur, n = s["cur"], F.size(s["cur"])
+    def step(s: Column, t: Column, ts: Column, i: Column) -> Column:
         # Tokens come sorted by height, so the middle ones of a row are at its middle.
-        middle = (F.get(cur, ((n - 1) / 2).cast("int"))["cy"] + F.get(cur, (n / 2).cast("int"))["cy"]) / 2
-        joins = (n == 0) | ((F.abs(t["cy"] - middle) <= tolerance) & (F.get(cur, F.lit(0))["page"] == t["page"]))
-        return F.struct(F.when(joins, s["done"]).otherwise(F.concat(s["done"], F.array(cur))).alias("done"), F.when(joins, F.concat(cur, F.array(t))).otherwise(F.array(t)).alias("cur"))
+        first, n = s["first"], i - s["first"]
+        middle = (F.get(ts, first + ((n - 1) / 2).cast("int"))["cy"] + F.get(ts, first + (n / 2).cast("int"))["cy"]) / 2
+        joins = (i > 0) & (F.abs(t["cy"] - middle) <= tolerance) & (F.get(ts, first)["page"] == t["page"])
+        return F.when(joins, s).otherwise(F.struct(F.concat(s["starts"], F.array(i)).alias("starts"), i.alias("first")))
 
-    rows = F.aggregate(tokens, start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["cur"])), lambda r: F.size(r) > 0))
-    return F.transform(rows, lambda r: F.array_sort(r, lambda a, b: _order(a, b, ("left", "idx"))))
+    return _rows_from(tokens, start, step)
 
 
 def rows_by_average(tokens: Column, threshold: float = 30.0) -> Column:
     """Rows of sorted tokens by a running pair average: a token joins if within ``threshold`` of it, and the average moves half way."""
-    none = F.array().cast(f"array<{_TOKEN}>")
-    start = F.struct(F.array().cast(f"array<array<{_TOKEN}>>").alias("done"), none.alias("cur"), F.lit(0.0).alias("y"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0.0).alias("y"))
 
-    def step(s: Column, t: Column) -> Column:
-        joins = (F.size(s["cur"]) == 0) | (F.abs(t["cy"] - s["y"]) < threshold)
-        y = F.when(F.size(s["cur"]) == 0, t["cy"]).when(joins, (s["y"] + t["cy"]) / 2).otherwise(t["cy"])
-        return F.struct(
-            F.when(joins, s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))).alias("done"), F.when(joins, F.concat(s["cur"], F.array(t))).otherwise(F.array(t)).alias("cur"), y.alias("y")
-        )
+    def step(s: Column, t: Column, ts: Column, i: Column) -> Column:
+        joins = (i > 0) & (F.abs(t["cy"] - s["y"]) < threshold)
+        return F.struct(F.when(joins, s["starts"]).otherwise(F.concat(s["starts"], F.array(i))).alias("starts"), F.when(joins, (s["y"] + t["cy"]) / 2).otherwise(t["cy"]).alias("y"))
 
-    rows = F.aggregate(tokens, start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["cur"])), lambda r: F.size(r) > 0))
-    return F.transform(rows, lambda r: F.array_sort(r, lambda a, b: _order(a, b, ("left", "idx"))))
+    return _rows_from(tokens, start, step)
 
 
 def row_bucket(cy: Column, size: int = 10) -> Column:
@@ -105,6 +113,22 @@ def take_until(rows: Column, stop: str) -> Column:
     return let(end, lambda at: F.when(at > 0, F.slice(rows, F.lit(1), (at - 1).cast("int"))).otherwise(rows))
 
 
+def stitch(rows: Column) -> Column:
+    """struct(head, tail): the text of the first page's rows, which names the parties, and of the last page's, which states the totals."""
+
+    def parts(rs: Column) -> Column:
+        last = F.array_max(F.transform(rs, lambda r: F.get(r, F.lit(0))["page"]))
+        of = lambda page: full_text(F.filter(rs, lambda r: F.get(r, F.lit(0))["page"] == page))
+        return F.struct(of(F.lit(0)).alias("head"), let(last, of).alias("tail"))
+
+    return let(rows, parts)
+
+
+def below_header(tokens: Column, height: Column, share: float = 0.3) -> Column:
+    """Tokens whose centre lies below the header band, the upper ``share`` of a page of some height."""
+    return F.filter(tokens, lambda t: t["cy"] > share * height)
+
+
 def in_region(tokens: DataFrame, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
     """Tokens whose centre lies in a rectangle, borders included."""
     return tokens.where(F.col("cx").between(x1, x2) & F.col("cy").between(y1, y2))
@@ -112,8 +136,8 @@ def in_region(tokens: DataFrame, x1: float, y1: float, x2: float, y2: float) ->
 
 def bottom_share(tokens: DataFrame, doc: str = "doc_id", top: str = "cy", share: float = 0.8) -> DataFrame:
     """Tokens below ``share`` of their document's greatest height."""
-    low = tokens.groupBy(doc).agg(F.max(top).alias("_most"))
-    return tokens.join(low, doc).where(F.col(top) > share * F.col("_most")).drop("_most")
+    most = F.max(top).over(Window.partitionBy(doc))
+    return tokens.withColumn("_most", most).where(F.col(top) > share * F.col("_most")).drop("_most")
 
 
 def page_breaks(tokens: DataFrame, doc: str = "doc_id", order: str = "idx", drop: float = 1000.0) -> DataFrame:

@@ -33,11 +33,13 @@ def local_session(app: str = "foliospark", cores: str = "*", partitions: int = 8
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where a session names none, as in tests on one machine, a folder of our own is set.
+    Only where a session of one machine names none, as in tests, a folder of our own is set; a cluster's session that names none is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliospark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

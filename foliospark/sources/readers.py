@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.config import Config
 from foliospark.operators.nested import find_response
 from foliospark.operators.quality import upload_status
 from foliospark.schemas import META, OCR_DOCUMENT, TOKEN
@@ -17,12 +19,12 @@ TOKEN_ROWS = f"doc_id bigint, page int, idx int, {TOKEN}"
 CELL_ROWS = "doc_id bigint, page int, cell int, bbox array<int>, text string, conf double"
 
 
-def read_uploads(spark: SparkSession, path: str, max_mb: float = 12.0) -> DataFrame:
+def read_uploads(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
     """``path, mime_type, length, status, sha256, content`` of files; those not taken keep their row and have a status."""
     files = spark.read.format("binaryFile").load(path)
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     mime = F.when(ending == "png", "image/png").when(ending.isin("jpg", "jpeg"), "image/jpeg").when(ending == "pdf", "application/pdf")
-    return files.select("path", mime.alias("mime_type"), "length", upload_status(mime, F.col("length"), max_mb).alias("status"), F.sha2("content", 256).alias("sha256"), "content")
+    return files.select("path", mime.alias("mime_type"), "length", upload_status(mime, F.col("length"), config).alias("status"), F.sha2("content", 256).alias("sha256"), "content")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -73,16 +75,35 @@ def apply_adapter(pages: DataFrame, load: Callable[[], Callable[[pd.DataFrame],
 
     Rasterisers, text recognisers, table recognisers and re-readers of handwriting plug in here.  Filter pages before: nothing is pushed through.
     """
-    held: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = held.setdefault("reader", load())
+        # The module of the worker, not a copy that came with the task.
+        from foliospark.sources import readers
+
+        reader = readers.loaded(key, load)
         for pdf in batches:
             yield reader(pdf)
 
     return pages.mapInPandas(run, schema)
 
 
+_LOADED: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
+
+
+def loaded(key: str, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The reader of ``key``, loaded once in a worker; only the last one used is kept."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
+def first_pages(pages: DataFrame, config: Config = Config(), page: str = "page") -> DataFrame:
+    """Pages before the most that a document is read of; filter before an adapter, through which nothing is pushed."""
+    return pages.where(F.col(page) < config.max_pages)
+
+
 def documents_of(tokens: DataFrame) -> DataFrame:
     """Documents from token rows, tokens in order of page and place."""
     item = F.struct("page", "idx", "text", "bbox", "conf", "confidence", "handwritten", "hw_score")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators.nested import child_records, find_response, label_nodes
+from foliospark.operators.nested import CHILD_TYPES, child_records, find_response, label_nodes, node_table
 
 DOC = {
     "meta": {"ocrConfidence": 0.9, "quality": {}},
@@ -57,8 +57,8 @@ def test_no_complete_response(bad):
 
 def test_children_links_and_intervals(spark):
     n = label_nodes(rows(spark, [(1, json.dumps(DOC)), (1, json.dumps(DOC)), (2, None), (None, json.dumps(DOC)), (3, "x")], copy="clash", pre=5, pos=1), with_body=True).collect()
-    got = {(r["node_type"], r["line_pos"], r["pos"]) for r in n if r["node_type"] != "response"}
-    assert got == WANT and len(n) == len(WANT) + 1
+    got = {(r["node_type"], r["line_pos"], r["pos"]) for r in n if r["node_type"] in CHILD_TYPES}
+    assert got == WANT and {r["parent_pre"] for r in n} <= {-1, *(r["pre"] for r in n)}, "every link leads to a row"
     by = {r["pre"]: r for r in n}
     for r in n:
         if r["node_type"] == "response":
@@ -93,3 +93,31 @@ def test_stored_pages_agree_with_a_plain_walk(spark):
         doc = find_response(r["payload"])
         want |= {(r["response_id"], *x) for x in brute(doc)} if doc else set()
     assert {tuple(r) for r in child_records(label_nodes(df)).collect()} == want
+
+
+def test_thin_and_whole_walks_label_alike(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/ocr_responses.parquet")
+    keys = ["response_id", "node_type", "pre", "post", "depth", "pos", "line_pos"]
+    whole = label_nodes(df, with_body=True)
+    kept = whole.where(F.col("node_type").isin("response", *CHILD_TYPES))
+    assert {tuple(r) for r in kept.select(keys).collect()} == {tuple(r) for r in label_nodes(df).select(keys).collect()}
+    # Every link leads to a node that encloses the row.
+    up = whole.select("response_id", F.col("pre").alias("parent_pre"), F.col("post").alias("parent_post"))
+    assert whole.where("parent_pre >= 0").join(up, ["response_id", "parent_pre"], "left").where("parent_post is null or parent_post <= post").count() == 0
+    qty = node_table(whole, "lines.qty", "value string, unit string, confidence double")
+    assert qty.where("confidence is not null").count() > 0 and qty.columns[-3:] == ["value", "unit", "confidence"]
+
+
+def test_wrappers_and_values_of_any_depth(spark):
+    doc = json.dumps(DOC)
+    wrapped = doc
+    for i in range(40):
+        wrapped = "[" + wrapped + "]" if i % 2 else '{"a":' + wrapped + "}"
+    assert brute(find_response(wrapped)) == WANT
+    far = "[" * 5000 + doc + "]" * 5000
+    inside = '{"lines":[{"rowId":"r\\"1","x":' + '{"y":[' * 4000 + '"z"' + "]}" * 4000 + "}]}"
+    assert brute(find_response(far)) == WANT and find_response(far[:-1]) is None
+    got = [(r["node_type"], r["pos"]) for r in child_records(label_nodes(rows(spark, [(1, inside)]))).select(F.col("child").alias("node_type"), "pos").collect()]
+    assert got == [("lines", 0)]
+    nodes = label_nodes(rows(spark, [(1, inside)]), with_body=True)
+    assert nodes.count() == 8003 and nodes.where("node_type = 'lines'").first()["body"] == '{"rowId":"r\\"1"}'

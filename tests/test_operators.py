@@ -115,7 +115,10 @@ def test_reconciliation(spark):
     assert tuple(r["a"]) == (D("13800.00"), D("2484.00"), D("16284.00")) and tuple(r["s"]) == (D("1242.00"), D("1242.00"), D("0.00")) and r["i"]["igst"] == D("2484.00")
     assert tuple(r["ok"]) == (True, D("0.99")) and tuple(r["no"]) == (True, D("0.00"))
     r = one(spark, m=R.mend_price(F.lit(None).cast("double"), F.lit(1000.0), F.lit(10)), s=R.mend_price(F.lit(500.0), F.lit(100.0), F.lit(5)), k=R.mend_price(F.lit(514.0), F.lit(755.0), F.lit(2)), z=R.mend_price(F.lit(0.0), F.lit(5.0), F.lit(0)))
-    assert r["m"]["price"] == D("100.00") and tuple(r["s"]) == (D("100.00"), D("500.00")) and r["k"]["price"] == D("514.00") and r["z"]["price"] is None
+    assert r["m"]["price"] == D("100.00") and tuple(r["s"]) == (D("100.00"), D("500.00")) and r["k"]["price"] == D("514.00") and r["z"]["price"] == D("0.00")
+    # Without a quantity nothing is swapped, and what is consistent stays.
+    r = one(spark, n=R.mend_price(F.lit(500.0), F.lit(100.0), F.lit(None).cast("int")), c=R.mend_price(F.lit(400.0), F.lit(100.0), F.lit(0)), e=R.mend_price(F.lit(100.0), F.lit(102.0), F.lit(1)))
+    assert [tuple(x) for x in r] == [(D("500.00"), D("100.00")), (D("400.00"), D("100.00")), (D("100.00"), D("102.00"))]
     assert one(spark, w=R.special_line(F.lit("Freight charges")))["w"] == "freight"
 
 
@@ -263,3 +266,94 @@ def test_rebuilt_responses_match_brute_force(spark, tmp_path):
     assert (got[1]["meta"]["ocrConfidence"], got[1]["meta"]["uploadHash"], got[1]["meta"]["quality"]["focus"]) == (0.8, "ab", 50.0)
     stored.write.parquet(str(tmp_path / "ocr_responses.parquet"))
     assert {r["doc_id"]: (r["n_lines"], r["n_warnings"]) for r in reference.rich_responses(spark, str(tmp_path)).collect()} == {1: (4, 1), 2: (4, 1), 3: (3, 0), 4: (0, 0)}
+
+
+def test_folds_are_linear(spark):
+    """Rows of a document of 16 times the tokens take about 16 times as long, not 256."""
+    import time
+
+    def seconds(n):
+        t = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.lit("x").alias("text"), F.lit(1.0).alias("conf"), F.lit(0).alias("page"), (i % 4 * 100.0).alias("cx"), (F.floor(i / 4) * 30.0).alias("cy"), (i % 4 * 100.0).alias("left"), i.alias("idx")))
+        df = spark.range(4).select("id", t.alias("t"))
+        rows = df.select(F.size(K.rows_by_median(F.col("t"))).alias("a"), F.size(K.rows_by_average(F.col("t"), 10.0)).alias("b"))
+        began = time.time()
+        assert {tuple(r) for r in rows.collect()} == {(n // 4, n // 4)}
+        return time.time() - began
+
+    seconds(1000)
+    small, large = min(seconds(1000) for _ in range(2)), min(seconds(16_000) for _ in range(2))
+    assert large < 40 * max(small, 0.2)
+
+
+def test_alignment_and_window_before_a_transposed_table(spark):
+    kind = "rows array<array<struct<text: string, conf: double, page: int, cx: double, cy: double, left: double, idx: int>>>"
+    place = lambda rs: [[(w, 0.9, 0, float(x), float(y * 40), float(x), 0) for x, w in r] for y, r in enumerate(rs)]
+    fields = [[(0, "Quantity"), (100, "4"), (200, "6")], [(0, "Rate"), (105, "10.00"), (190, "20.00")], [(0, "Total"), (100, "160.00")]]
+    names = [[(0, "Invoice"), (100, "No"), (200, "7")], [(0, "Brick"), (100, "Twine"), (200, "Rope")]]
+    df = spark.createDataFrame([(place(names + fields),), (place([fields[0], [(0, "Rate"), (300, "1.00"), (500, "2.00")]]),), (place([]),)], kind)
+    r = df.select(T.is_transposed(F.col("rows")).alias("t"), T.aligned_rows(F.col("rows")).alias("a"), T.parse_transposed(F.col("rows")).alias("x")).collect()
+    assert [x["t"] for x in r] == [True, False, False] and r[0]["a"] == 3
+    assert [(x["description"], x["quantity"]) for x in r[0]["x"]] == [("Brick", "4"), ("Twine", "6")]
+
+
+def test_pages_are_stitched(spark):
+    """Header from the first page, totals from the last, items of all."""
+    from foliospark.operators.extract import extract_invoices
+
+    page = lambda y0, texts: [(t, [[x, y0 + y + 0.0], [x + 50.0, y0 + y + 10.0]], 0.9, None, None, None) for t, x, y in texts]
+    one_ = page(0, [("Invoice No.: 7", 100.0, 50), ("Total 1.00", 100.0, 2000)])
+    two = page(0, [("Invoice No.: 8", 100.0, 20), ("Total 25.00", 100.0, 90)])
+    docs = spark.createDataFrame([(1, [*one_, *two])], OCR_DOCUMENT)
+    r = extract_invoices(docs).first()
+    assert r["invoice"]["number"] == "7" and r["totals"]["totalAmount"] == D("25.00")
+
+
+def test_tables_by_the_cheapest_way(spark):
+    tok = lambda t, x, y: (t, [[x + 0.0, y + 0.0], [x + 40.0, y + 10.0]], 0.9, None, None, None)
+    row = lambda y: [tok("Clay brick", 0, y), tok("6904", 150, y), tok("40 pcs", 300, y), tok("345.00", 450, y), tok("18", 600, y)]
+    docs = spark.createDataFrame([(1, [tok("Seller 9 pcs", 0, 10), *row(500), *row(600)], 1000.0), (2, row(500), None), (3, None, 10.0)], OCR_DOCUMENT + ", height double")
+    cells = spark.createDataFrame([(2, [0, 20, 50, 29], "Wool", 0.8), (2, [60, 20, 90, 29], "5 kg", 0.8), (2, [100, 20, 120, 29], "2.50", 0.8), (1, [0, 0, 9, 9], "no line", 0.5)], "doc_id bigint, bbox array<int>, text string, conf double")
+    got = sorted((r["doc_id"], r["source"], r["description"], r["qty"], r["unitPrice"]) for r in H.extract_tables(docs, cells).collect())
+    assert got == [(1, "tokens", "Clay brick", 40.0, 345.0)] * 2 + [(2, "cells", "Wool", 5.0, 2.5)]
+    assert {r["doc_id"] for r in H.extract_tables(docs.withColumn("height", F.lit(None).cast("double"))).collect()} == {1, 2}
+
+
+def test_strokes():
+    rng = np.random.default_rng(0)
+    blank, scribble = np.full((60, 60), 255), np.full((60, 60), 255)
+    x, y = 5.0, 30.0
+    for _ in range(400):
+        x, y = np.clip(x + rng.normal(0.2, 1), 3, 56), np.clip(y + rng.normal(0, 1.5), 3, 56)
+        r = rng.integers(1, 4)
+        scribble[int(y) - r : int(y) + r, int(x) - r : int(x) + r] = 0
+    assert Q.stroke_features(blank)[0] == 0 and Q.stroke_features(np.zeros((5, 5))) == (0.0, 0.0, 0.0)
+    density, spread_, odd = Q.stroke_features(scribble)
+    assert density > 0.05 and spread_ > 0.3 and 0 <= odd <= 1
+    square = np.full((60, 60), 255)
+    square[20:40, 20:40] = 0
+    assert 1 < Q.stroke_features(square)[1] < 4
+
+
+def test_a_reader_is_loaded_once_a_worker(spark, tmp_path):
+    def load(folder=str(tmp_path)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda pdf: pd.DataFrame({"doc_id": pdf["id"], "page": 0, "cell": 0, "bbox": [[0, 0, 1, 1]] * len(pdf), "text": "x", "conf": 0.5})
+
+    from foliospark.sources.readers import CELL_ROWS, first_pages
+
+    assert apply_adapter(spark.range(0, 64, 1, 32), load, CELL_ROWS).count() == 64
+    assert len(list(tmp_path.iterdir())) <= 8, "once a worker, not once a partition"
+    assert first_pages(spark.range(5).select(F.col("id").alias("page"))).count() == 2
+
+
+def test_printed_totals_of_stored_responses(spark):
+    """The total that a document prints, not its sub total."""
+    stored = spark.read.parquet("/root/testdata/sf0.01/ocr_responses.parquet")
+    from foliospark.operators.extract import extract_invoices
+
+    docs = stored_documents(stored)
+    lines = docs.select("doc_id", F.explode("fullText.text").alias("t")).where(r"t rlike '^Total [0-9,]+\\.[0-9]{2}$'").groupBy("doc_id").agg(F.max(S.amount(F.col("t"))).alias("printed"))
+    r = extract_invoices(docs).join(lines, "doc_id").select((F.col("totals.totalAmount") == F.col("printed")).alias("right")).collect()
+    assert len(r) > 150 and sum(bool(x["right"]) for x in r) >= 0.99 * len(r)
