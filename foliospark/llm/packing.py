@@ -116,20 +116,20 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack_documents(sizes: DataFrame, limits: DataFrame, windows_per_shard: int = 320) -> DataFrame:
+def pack_documents(sizes: DataFrame, limits: DataFrame, windows_per_shard: int = 320, items_per_shard: int = 200_000) -> DataFrame:
     """``limit_id, doc_id, part_no, n_tokens, container_id, capacity_tokens``: every document's place for every limit.
 
     ``sizes`` has ``doc_id`` and ``n_tokens``, ``limits`` has ``limit_id`` and ``capacity_tokens``.  A document above the capacity is cut into whole containers and
     one rest; others are never cut.  Documents are spread by a hash of their id over shards of about ``windows_per_shard``
-    windows, each packed by differencing on its own, so work and memory of a task don't grow with the data.  A document of 0 tokens
+    windows and at most about ``items_per_shard`` documents, each packed by differencing on its own, so work and memory of a task don't grow with the data.  A document of 0 tokens
     takes no room and goes with the others.  Repeated ids count once, with the largest size; null ids and limits without a positive
     capacity give no row.
     """
     docs = cut(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce("n_tokens", F.lit(0))).cast("bigint").alias("n_tokens")))
-    total = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()["t"]
+    total, n_docs = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     caps = limits.where("capacity_tokens > 0 and limit_id is not null").groupBy("limit_id").agg(F.max("capacity_tokens").cast("bigint").alias("capacity_tokens"))
     # The limits are a handful of parameters, at most one row for each whole capacity.
-    options = [F.struct(F.lit(r[0]).cast("int").alias("limit_id"), F.lit(r[1]).cast("bigint").alias("capacity_tokens"), F.lit(max(1, math.ceil(total / (r[1] * windows_per_shard)))).alias("shards")) for r in caps.collect()]
+    options = [F.struct(F.lit(r[0]).cast("int").alias("limit_id"), F.lit(r[1]).cast("bigint").alias("capacity_tokens"), F.lit(max(1, math.ceil(total / (r[1] * windows_per_shard)), math.ceil(n_docs / items_per_shard))).alias("shards")) for r in caps.collect()]
     if not options:
         options = [F.struct(F.lit(0).alias("limit_id"), F.lit(1).cast("bigint").alias("capacity_tokens"), F.lit(1).alias("shards"))]
         docs = docs.where("false")
