@@ -40,43 +40,53 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return x.astype(np.int64)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def lay_blocks(sizes: DataFrame, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(pieces, blocks per source) of documents with ``doc_id``, ``source`` and ``n_tokens``.
+    """(pieces, blocks and tokens per source) of documents with ``doc_id``, ``source`` and ``n_tokens``.
 
-    The tokens of a source's documents lie end to end in buckets of about ``BUCKET_DOCS`` documents, so no task holds a whole source; a
-    bucket's last block may be short.  A piece is what one document gives to one block: ``source, block, doc_id, n_tokens``.
+    The tokens of a source's documents lie end to end and are cut into blocks, of which only the last may be short.  Places are summed up within buckets of about ``BUCKET_DOCS``
+    documents, then over buckets, so no task holds a whole source.  A piece is what one document gives to one block: ``source, block, doc_id, n_tokens``.
     """
     docs = sizes.where("doc_id is not null and source is not null and n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x")).select("doc_id", "x.*")
     docs = cut(docs)
-    # One count a source; the sources are those that targets name.
-    counts = docs.groupBy("source").agg(F.ceil(F.count("*") / BUCKET_DOCS).alias("buckets"))
-    spread = docs.join(F.broadcast(counts), "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets"))
+    counts = cut(docs.groupBy("source").agg(F.ceil(F.count("*") / BUCKET_DOCS).alias("buckets")))
+    spread = docs.join(small(counts), "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets"))
     own = Window.partitionBy("source", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     laid = spread.withColumn("start", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
-    filled = spread.groupBy("source", "bucket").agg(F.ceil(F.sum("n_tokens") / block).cast("bigint").alias("blocks"))
+    filled = cut(spread.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = filled.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+    offsets = filled.select("source", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
+    placed = laid.join(small(offsets), ["source", "bucket"]).select("source", "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block)
-    pieces = laid.select("source", "bucket", "doc_id", "start", "n_tokens", F.explode(F.sequence(first, last)).alias("b")).join(offsets.select("source", "bucket", "first"), ["source", "bucket"])
-    end = F.least((F.col("b") + 1) * block, F.col("start") + F.col("n_tokens"))
+    pieces = placed.select("source", "doc_id", "start", "n_tokens", F.explode(F.sequence(first, last)).alias("block"))
+    end = F.least((F.col("block") + 1) * block, F.col("start") + F.col("n_tokens"))
     return (
-        pieces.select("source", (F.col("first") + F.col("b")).alias("block"), "doc_id", (end - F.greatest(F.col("b") * block, F.col("start"))).cast("bigint").alias("n_tokens")),
-        filled.groupBy("source").agg(F.sum("blocks").alias("blocks")),
+        pieces.select("source", "block", "doc_id", (end - F.greatest(F.col("block") * block, F.col("start"))).cast("bigint").alias("n_tokens")),
+        filled.groupBy("source").agg(F.sum("tokens").alias("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block).cast("bigint")),
     )
 
 
 def plan_mixes(blocks: DataFrame, totals: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS) -> pd.DataFrame:
-    """What each mix wants of each source, in tokens and blocks: one row a target, so a bounded table of parameters."""
+    """What each mix wants of each source, in tokens and blocks: one row a target, so a bounded table of parameters.
+
+    A quota is as many whole uses of the source as the wanted tokens hold and the blocks that the rest fills, so it is met within a block however short the last one is.
+    """
     wanted = (
         targets.where("mix_id is not null and source is not null and target_share > 0")
         .groupBy("mix_id", "source").agg(F.max("target_share").alias("target_share"), F.max(F.greatest(F.col("max_repeats"), F.lit(0))).alias("max_repeats"), F.max("budget_share").alias("budget_share"))
-        .join(F.broadcast(blocks), "source", "left").na.fill(0, ["blocks"]).orderBy("mix_id", "source").toPandas()
+        .join(blocks, "source", "left").na.fill(0, ["blocks", "tokens"]).orderBy("mix_id", "source").toPandas()
     )
     total = totals.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     wanted["max_repeats"] = wanted["max_repeats"].fillna(1).astype("int64")
     wanted["target_tokens"] = np.rint(wanted["target_share"].astype(float) * wanted["budget_share"].astype(float) * float(total)).astype("int64")
-    wanted["want"] = np.rint(wanted["target_tokens"] / block).astype("int64")
-    wanted["quota"] = np.minimum(wanted["want"], wanted["blocks"].astype("int64") * wanted["max_repeats"])
+    have = np.maximum(wanted["tokens"].astype("int64"), 1)
+    whole = wanted["target_tokens"] // have
+    rest = np.minimum(np.rint((wanted["target_tokens"] - whole * have) / block).astype("int64"), wanted["blocks"].astype("int64"))
+    wanted["quota"] = np.minimum(whole * wanted["blocks"].astype("int64") + rest, wanted["blocks"].astype("int64") * wanted["max_repeats"])
     return wanted
 
 
@@ -154,7 +164,7 @@ def mix_pages(sizes: DataFrame, targets: DataFrame, seed: int = 11, block: int =
     sizes = cut(sizes.select("doc_id", "source", "n_tokens"))
     spark = sizes.sparkSession
     named = targets.where("source is not null").select("source").distinct()
-    pieces, blocks = lay_blocks(sizes.join(F.broadcast(named), "source", "left_semi"), block)
+    pieces, blocks = lay_blocks(sizes.join(small(named), "source", "left_semi"), block)
     wanted = plan_mixes(blocks, sizes.dropDuplicates(["doc_id"]), targets, block)
     slots = draw_slots(spark, wanted, seed)
     used = slots.groupBy("mix_id", "source", "epoch", "block").agg(F.count("*").alias("n"))
@@ -167,7 +177,7 @@ def mix_pages(sizes: DataFrame, targets: DataFrame, seed: int = 11, block: int =
         [(int(r.mix_id), str(r.source), float(r.target_share), int(r.max_repeats), int(r.target_tokens)) for r in wanted.itertuples()],
         "mix_id int, source string, target_share double, max_repeats int, target_tokens bigint",
     )
-    report = plan.join(F.broadcast(actual), ["mix_id", "source"], "left").na.fill(0, ["actual_tokens", "pages", "most_uses"])
+    report = plan.join(actual, ["mix_id", "source"], "left").na.fill(0, ["actual_tokens", "pages", "most_uses"])
     whole = F.sum("actual_tokens").over(Window.partitionBy("mix_id"))
     return pages, report.select(
         "mix_id", "source", "target_share", F.when(whole > 0, F.col("actual_tokens") / whole).otherwise(0.0).alias("actual_share"), "target_tokens", "actual_tokens",
