@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.lines import ADVERT, JUNK, LIST, PROSE, TABLE, line_kind
 from foliospark.runtime import cut
 
-_WORD = re.compile(r"[^\W\d_]+")
 #: The statistics a mixture is fitted on.
-FEATURES = ("mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "line_end_share", "common_share", "list_share", "table_share", "advert_share", "junk_share")
-_TYPES = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_lines", pa.int64()), ("n_not_prose", pa.int64()), *((f, pa.float64()) for f in FEATURES)]
-STATISTICS_SCHEMA = "doc_id bigint, n_words bigint, n_lines bigint, n_not_prose bigint, " + ", ".join(f"{f} double" for f in FEATURES)
-#: Documents that the mixture's start is chosen from: about as many, at most twice.
+FEATURES = (
+    "mean_word_length", "symbol_ratio", "digit_ratio", "upper_ratio", "line_end_share", "common_share", "bare_line_share", "lower_start_share", "tokens_per_line", "single_share",
+)
+_TYPES = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_lines", pa.int64()), *((f, pa.float64()) for f in FEATURES)]
+STATISTICS_SCHEMA = "doc_id bigint, n_words bigint, n_lines bigint, " + ", ".join(f"{f} double" for f in FEATURES)
+#: Documents that the mixture's start is found on: about as many, at most twice.
 INIT_SAMPLE = 4096
-COMPONENTS = 12
+COMPONENTS = 24
+#: Least variance that a component has beside its own, in any direction of the standardized statistics.
+FLOOR = 0.01
 
 # Inspected examples: what pages of each kind look like.  They name the mixture's components.
 EXAMPLES = {
@@ -61,77 +63,109 @@ EXAMPLES = {
 }
 
 
-# A page of another kind often opens with a little prose and a heading.
+# Prose is also set in capitals; a page of another kind often opens with a little prose and a heading.
 _OPENING = EXAMPLES["prose"][0] + "\nMARKETS.\n"
 _OPENED = {k: tuple(_OPENING + "\n".join([t] * n) for t in texts for n in (2, 4)) for k, texts in EXAMPLES.items() if k != "prose"}
-EXAMPLES = {k: texts + _OPENED.get(k, ()) for k, texts in EXAMPLES.items()}
-
-
-def page_statistics(text: str | None, common: frozenset[str]) -> tuple:
-    """The statistics of one text: counts, then ``FEATURES``.  All are 0 without words or lines."""
-    lines = [x for x in (text or "").split("\n") if x.strip()]
-    words = _WORD.findall(text) if text else []
-    kinds = [line_kind(x, common) for x in lines]
-    n, w = len(lines), len(words)
-    if not n:
-        return (0, 0, 0, *[0.0] * len(FEATURES))
-    letters = sum(map(len, words))
-    solid = sum(len(t) for x in lines for t in x.split())
-    digits = sum(map(text.count, "0123456789"))
-    share = lambda k: kinds.count(k) / n
-    return (
-        w, n, n - kinds.count(PROSE),
-        letters / w if w else 0.0, max(0, solid - letters - digits) / solid, digits / solid, sum(x[0].isupper() for x in words) / w if w else 0.0,
-        sum(x.rstrip()[-1] in ".,;:!?\"'" for x in lines) / n, sum(map(common.__contains__, map(str.lower, words))) / w if w else 0.0,
-        share(LIST), share(TABLE), share(ADVERT), share(JUNK),
-    )
-
-
-def word_list(common_words: DataFrame) -> frozenset[str]:
+EXAMPLES = {k: texts + _OPENED.get(k, tuple(map(str.upper, texts))) for k, texts in EXAMPLES.items()}
+
+
+def measure_texts(texts: pa.Array, common: pa.Array) -> list[np.ndarray]:
+    """Word and line counts and ``FEATURES`` of texts, by column, with Arrow's kernels: no text is walked in Python.
+
+    Words are runs of letters, tokens runs of what is not white space, lines those that are not blank.  A text without words or lines has zeros.
+    """
+    n = len(texts)
+    split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    doc, flat = pc.list_parent_indices(split).to_numpy(), split.flatten()
+    solid = pc.match_substring_regex(flat, r"\S").to_numpy(zero_copy_only=False)
+    doc, lines = doc[solid], flat.filter(pa.array(solid))
+    spelled = pc.split_pattern_regex(lines, r"\P{L}+")
+    at, words = pc.list_parent_indices(spelled).to_numpy(), spelled.flatten()
+    length = pc.utf8_length(words).to_numpy()
+    at, words, length = at[length > 0], words.filter(pa.array(length > 0)), length[length > 0]
+    known = pc.is_in(pc.utf8_lower(words), value_set=common).to_numpy(zero_copy_only=False)
+    upper = pc.match_substring_regex(words, r"^\p{Lu}").to_numpy(zero_copy_only=False)
+    has = lambda pattern: pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    count = lambda pattern: pc.count_substring_regex(lines, pattern).to_numpy()
+    by_doc = lambda values: np.bincount(doc, weights=values, minlength=n)
+    of_words = lambda values: np.bincount(doc[at], weights=values, minlength=n)
+    n_lines, n_words = np.bincount(doc, minlength=n), np.bincount(doc[at], minlength=n)
+    letters, signs, digits = of_words(length), by_doc(count(r"\S")), by_doc(count(r"[0-9]"))
+    bare = np.bincount(at, weights=known, minlength=len(doc)) == 0
+    share = lambda part, whole: np.divide(part, whole, out=np.zeros(n), where=np.asarray(whole) > 0)
+    return [
+        n_words, n_lines, share(letters, n_words), share(np.maximum(0, signs - letters - digits), signs), share(digits, signs), share(of_words(upper), n_words), share(by_doc(has(r"[.,;:!?\"']\s*$")), n_lines),
+        share(of_words(known), n_words), share(by_doc(bare), n_lines), share(by_doc(has(r"^\s*\p{Ll}")), n_lines), share(by_doc(count(r"\S+")), n_lines), share(of_words(length == 1), n_words),
+    ]
+
+
+def word_list(common_words: DataFrame) -> list[str]:
     """The common words of all languages: a fixed table of a few hundred rows."""
-    return frozenset(r[0].lower() for r in common_words.where("word is not null").select("word").distinct().collect())
+    return sorted({r[0].lower() for r in common_words.where("word is not null").select("word").distinct().collect()})
 
 
 def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """Statistics of every document's whole ``text``: ``doc_id``, word and line counts and ``FEATURES``.
 
     Symbol and digit ratios are shares of the characters that are not white space; ``line_end_share`` is the share of lines that end in
-    punctuation; ``common_share`` the share of words in ``common_words``; the others the shares of lines of a kind.  A null or empty
+    punctuation, ``bare_line_share`` of those without a common word, ``lower_start_share`` of those that begin with a small letter; ``common_share`` is the share of words in
+    ``common_words``, ``upper_ratio`` of those with a capital, ``single_share`` of those of one letter.  A null or empty
     text gives zeros.  Null ids give no row; of rows that share an id the smallest statistics count.
     """
     common = word_list(common_words)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(common, pa.string())
         for b in batches:
-            rows = [(i, *page_statistics(t, common)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _TYPES)], [n for n, _ in _TYPES])
+            found = measure_texts(b.column(1), known)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(found, _TYPES[1:]))], [n for n, _ in _TYPES])
 
-    found = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(measure, STATISTICS_SCHEMA)
+    found = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(measure, STATISTICS_SCHEMA)
     names = [n for n, _ in _TYPES[1:]]
     return found.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s")).select("doc_id", "s.*")
 
 
 class Mixture:
-    """A Gaussian mixture with diagonal covariances over standardized statistics."""
+    """A Gaussian mixture with full covariances over standardized statistics."""
 
-    def __init__(self, center: np.ndarray, scale: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> None:
-        self.center, self.scale, self.weights, self.means, self.variances = center, scale, weights, means, variances
+    def __init__(self, center: np.ndarray, scale: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> None:
+        self.center, self.scale, self.weights, self.means = center, scale, weights, means
+        lower = np.linalg.cholesky(covariances + FLOOR * np.eye(len(center)))
+        self.whiten = np.linalg.inv(lower).transpose(0, 2, 1)
+        self.log_scale = -np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(1) - 0.5 * len(center) * np.log(2 * np.pi)
 
-    def log_joint(self, x: np.ndarray) -> np.ndarray:
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """Log density of rows under each component."""
         z = (x - self.center) / self.scale
-        with np.errstate(divide="ignore"):
-            base = np.log(self.weights) - 0.5 * np.log(2 * np.pi * self.variances).sum(1)
-        return base - 0.5 * (z * z @ (1 / self.variances).T - 2 * z @ (self.means / self.variances).T + (self.means**2 / self.variances).sum(1))
+        out = np.empty((len(x), len(self.means)))
+        for j, (m, w) in enumerate(zip(self.means, self.whiten)):
+            y = (z - m) @ w
+            out[:, j] = self.log_scale[j] - 0.5 * np.einsum("ij,ij->i", y, y)
+        return out
 
     def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(component probabilities, log likelihoods) of rows."""
-        joint = self.log_joint(x)
+        joint = self.log_density(x) + np.log(self.weights)
         top = joint.max(1, keepdims=True)
         e = np.exp(joint - top)
         s = e.sum(1, keepdims=True)
         return e / s, (top + np.log(s))[:, 0]
 
+    def sums(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected counts, sums and second moments of every component over rows, and their log likelihood."""
+        p, logs = self.posterior(x)
+        z = (x - self.center) / self.scale
+        second = np.einsum("ik,ij,il->kjl", p, z, z, optimize=True)
+        return np.hstack([p.sum(0)[:, None], p.T @ z, second.reshape(len(second), -1)]), float(logs.sum())
+
+    def updated(self, total: np.ndarray) -> Mixture:
+        """The mixture that the sums of all rows say."""
+        d = len(self.center)
+        mass = np.maximum(total[:, :1], 1e-9)
+        means = total[:, 1 : 1 + d] / mass
+        covariances = total[:, 1 + d :].reshape(-1, d, d) / mass[:, :, None] - np.einsum("kj,kl->kjl", means, means)
+        return Mixture(self.center, self.scale, (mass / mass.sum())[:, 0], means, covariances)
+
 
 def _start(sample: np.ndarray, k: int) -> np.ndarray:
     """Means spread over the sample: each next one is the row farthest from those before."""
@@ -143,11 +177,11 @@ def _start(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
-def fit_mixture(statistics: DataFrame, k: int = COMPONENTS, rounds: int = 12, tolerance: float = 1e-3, floor: float = 0.02) -> Mixture | None:
-    """Expectation-maximization over all rows that have words; None if there are none.
+def fit_mixture(statistics: DataFrame, k: int = COMPONENTS, tolerance: float = 1e-3) -> Mixture | None:
+    """Expectation-maximization over all rows that have words, until a round raises their mean log likelihood by less than ``tolerance``; None if there are none.
 
-    Each round adds up the expected counts, sums and squares of every component in the tasks; only these k x 21 numbers reach
-    the driver.  The start is chosen from a sample of bounded size, whatever the number of rows: one id hash in n / ``INIT_SAMPLE``.
+    The likelihood never falls and is bounded, so the rounds end.  Each adds up the expected counts, sums and second moments of every component in the tasks; only these k x 111
+    numbers reach the driver.  The start is fitted on a sample of bounded size, whatever the number of rows: one id hash in n / ``INIT_SAMPLE``.
     """
     rows = statistics.where("n_words > 0").select("doc_id", *FEATURES)
     moments = rows.select(*(x for f in FEATURES for x in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))), F.count("*").alias("n")).first()
@@ -163,61 +197,58 @@ def fit_mixture(statistics: DataFrame, k: int = COMPONENTS, rounds: int = 12, to
     z = (sample - center) / scale
     means = _start(z, min(k, len(np.unique(z, axis=0))))
     k, d = means.shape
-    model = Mixture(center, scale, np.full(k, 1 / k), means, np.full((k, d), 0.5))
-    before = -np.inf
-    for _ in range(rounds):
+    model = Mixture(center, scale, np.full(k, 1 / k), means, np.tile(0.5 * np.eye(d), (k, 1, 1)))
+    model = _climb(model, lambda m: m.sums(sample), len(sample), tolerance / 10)
 
-        def expect(batches: Iterator[pd.DataFrame], m: Mixture = model) -> Iterator[pd.DataFrame]:
-            total, like, n = np.zeros((k, 1 + 2 * d)), 0.0, 0
+    def over_all(m: Mixture) -> tuple[np.ndarray, float]:
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, like = np.zeros((k, 1 + d + d * d)), 0.0
             for pdf in batches:
-                x = pdf.to_numpy()
-                p, logs = m.posterior(x)
-                y = (x - m.center) / m.scale
-                total += np.hstack([p.sum(0)[:, None], p.T @ y, p.T @ (y * y)])
-                like, n = like + logs.sum(), n + len(x)
+                t, g = m.sums(pdf.to_numpy())
+                total, like = total + t, like + g
             yield pd.DataFrame({"at": np.arange(total.size + 1), "v": np.append(total.ravel(), like)})
 
-        sums = rows.select(*FEATURES).mapInPandas(expect, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
-        total, like = sums[:-1].reshape(k, -1), sums[-1] / moments["n"]
-        mass = np.maximum(total[:, :1], 1e-9)
-        means = total[:, 1 : 1 + d] / mass
-        model = Mixture(center, scale, (mass / mass.sum())[:, 0], means, np.maximum(total[:, 1 + d :] / mass - means**2, floor))
-        if like - before < tolerance:
-            break
-        before = like
-    return model
+        v = rows.select(*FEATURES).mapInPandas(expect, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").toPandas()["v"].to_numpy()
+        return v[:-1].reshape(k, -1), float(v[-1])
+
+    return _climb(model, over_all, moments["n"], tolerance)
 
 
-def name_components(model: Mixture, common: frozenset[str]) -> list[str]:
+def _climb(model: Mixture, sums, n: int, tolerance: float) -> Mixture:  # noqa: ANN001
+    before = -np.inf
+    while True:
+        total, like = sums(model)
+        if like / n - before < tolerance:
+            return model
+        before, model = like / n, model.updated(total)
+
+
+def name_components(model: Mixture, common: list[str]) -> list[str]:
     """The kind of each component: that of the inspected example that is most likely under it."""
     kinds = [k for k, texts in EXAMPLES.items() for _ in texts]
-    x = np.array([page_statistics(t, common)[3:] for texts in EXAMPLES.values() for t in texts])
-    joint = model.log_joint(x)
-    return [kinds[i] for i in joint.argmax(0)]
+    found = measure_texts(pa.array([t for texts in EXAMPLES.values() for t in texts]), pa.array(common, pa.string()))
+    return [kinds[i] for i in model.log_density(np.column_stack(found[2:])).argmax(0)]
+
 
+KINDS = ("prose", "list", "table", "junk")
 
-def classify(documents: DataFrame, common_words: DataFrame, doubt: float = 1e-3) -> DataFrame:
+
+def classify(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """``doc_id, kind, p_prose`` and the statistics of every document.
 
-    ``kind`` is prose, list, table or junk.  A document without words is junk.  One that the mixture gives less than 1 - ``doubt`` for
-    prose is decided by its lines: it is no prose if more than half of those that are not blank are list entries, table rows,
-    adverts or junk, and then of its component's kind, or of most of its lines' if that is prose.
+    ``kind`` is prose, list, table or junk: prose where the mixture's prose components have at least half of the probability, else the likeliest of the others.  A
+    document without words is junk.
     """
-    common = word_list(common_words)
     stats = cut(text_statistics(documents, common_words))
     model = fit_mixture(stats)
-    names = name_components(model, common) if model else []
+    names = np.array(name_components(model, word_list(common_words)) if model else [])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = pdf[list(FEATURES)].to_numpy(float)
-            p = model.posterior(x)[0] if model else np.zeros((len(x), 0))
+            p = model.posterior(pdf[list(FEATURES)].to_numpy(float))[0] if model else np.zeros((len(pdf), 0))
+            by_kind = np.column_stack([p[:, names == k].sum(1) for k in KINDS])
+            kind = np.where(by_kind[:, 0] >= 0.5, "prose", np.array(KINDS[1:])[by_kind[:, 1:].argmax(1)])
             wordy = pdf["n_words"].to_numpy() > 0
-            prose = p[:, [n == "prose" for n in names]].sum(1) if names else np.zeros(len(x))
-            by_lines = np.array(["list", "table", "list", "junk"])[x[:, 6:].argmax(1)]
-            kind = np.array(names, object)[p.argmax(1)] if names else by_lines
-            majority = 2 * pdf["n_not_prose"].to_numpy() > pdf["n_lines"].to_numpy()
-            kind = np.where((prose < 1 - doubt) & majority, np.where(kind == "prose", by_lines, kind), "prose")
-            yield pdf.assign(kind=np.where(wordy, kind, "junk"), p_prose=np.where(wordy, prose, 0.0))
+            yield pdf.assign(kind=np.where(wordy, kind, "junk"), p_prose=np.where(wordy, by_kind[:, 0], 0.0))
 
     return stats.mapInPandas(score, STATISTICS_SCHEMA + ", kind string, p_prose double")

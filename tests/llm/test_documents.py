@@ -2,18 +2,21 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from foliospark.llm import lines as LN
 from foliospark.llm import mixing as M
 from foliospark.llm import packing as P
 from foliospark.llm import quality as Q
 from foliospark.llm import queries
 from foliospark.llm.tokens import VOCABULARY, counter, token_sizes
 
+from line_rules import not_prose
+
 
 def test_counts_are_the_tokenizer_s():
     c, rng = counter(VOCABULARY), random.Random(1)
@@ -71,6 +74,10 @@ def test_packed_documents(spark):
         assert all((parts[i] == 1) if n <= cap else (parts[i] == -(-n // cap)) for i, n in size.items())
         assert g.n_tokens.sum() / (g.container_id.nunique() * cap) > 0.85
     assert set(got.limit_id) == {1, 2}
+    # Near-empty texts are spread over shards by their number.
+    thin = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("n_tokens"))
+    spread = P.pack_documents(thin, limits, items_per_shard=100).toPandas()
+    assert len(spread) == 2000 and spread[spread.limit_id == 1].container_id.str.split("-").str[2].nunique() == 10
     assert P.pack_documents(df.where("false"), limits).count() == 0 and P.pack_documents(df, limits.where("false")).count() == 0
 
 
@@ -96,28 +103,20 @@ def test_mixes(spark):
     assert all(p.n_tokens <= p.doc_id.map(size)) and set(p.source) == {"big", "mid", "tiny"}
     # Quotas are met up to a block; a short source gives all it may.
     for s in ("big", "mid"):
-        assert abs(r.loc[(1, s), "actual_tokens"] - r.loc[(1, s), "target_tokens"]) <= 0.02 * r.loc[(1, s), "target_tokens"] + 64
+        assert abs(r.loc[(1, s), "actual_tokens"] - r.loc[(1, s), "target_tokens"]) <= 64
     tiny = sum(n or 0 for i, s, n in set(rows) if s == "tiny")
     assert r.loc[(1, "tiny"), "actual_tokens"] == 2 * tiny and r.loc[(1, "tiny"), "shortfall_tokens"] > 0
     assert r.loc[(2, "gone"), "shortfall_tokens"] == r.loc[(2, "gone"), "target_tokens"] > 0
+    # A whole use and a part of the next come out as exactly, short last block or not.
+    more, rep = M.mix_pages(df, spark.createDataFrame([(1, "tiny", 1.0, 3, 2.4 * tiny / sum(n or 0 for i, s, n in set(rows) if i is not None))], targets.schema), block=64)
+    x = rep.first()
+    assert abs(x["actual_tokens"] - x["target_tokens"]) <= 64 and x["most_uses"] == 3 and more.count() > 0
     again, _ = M.mix_pages(df.repartition(7), targets, block=64)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, pages.collect()))
     empty, rep = M.mix_pages(df.where("false"), targets)
     assert empty.count() == 0 and rep.count() == 4
 
 
-COMMON = frozenset("the of and to in a was it at with had been by for have nothing we will be der die und ist le la les de est que el los".split())
-
-
-@pytest.mark.parametrize("text,kind", [
-    ("The committee met and it was said that the", LN.PROSE), ("ENGINE AND JERGOLGANJ.", LN.PROSE), ("respectable schoolhouse", LN.PROSE), ("lighthouse.", LN.PROSE), ("We have nothing to add to the mi|l", LN.PROSE), ("at 84 shillings, against 45", LN.PROSE),
-    ("| Notpepur | 64.9 | 88.2 |", LN.TABLE), ("Foreman, per doz ....... 84 10", LN.TABLE), ("Zatrazo 43 82 34 85", LN.TABLE), ("18  77°  29.06  W.  rain", LN.TABLE), ("Sikfoabad  1.35  2.07", LN.TABLE),
-    ("1. Narrow pump", LN.LIST), ("— Dupiels, Puldikhauss and Heljekels", LN.LIST), ("MILL: Vimudo, Jekpekabad; Likdossun, Niharpur", LN.LIST), ("Raburon, M., 29 Sihorvat St.", LN.LIST), ("Arr. Hojerdet, 668 t., Tofakki, from Jukfoabad", LN.LIST), ("(a) roof (Rifemsi Leonard), 13", LN.LIST), ("Zifirzu c. Pisnarbo b. Zihapi 67", LN.LIST), ("Molronno—At Silhekgaon, the wife of P. Diljuktit, a son.", LN.LIST),
-    ("FURS! FURS! FURS!", LN.ADVERT), ("NO REASONABLE OFFER REFUSED", LN.ADVERT), ("Apply Figaksos & Co.", LN.ADVERT), ("Barges from 58/6", LN.ADVERT), ("*** BARGAINS ***", LN.ADVERT), ("WANTED, a wheat", LN.ADVERT),
-    ("* * * * *", LN.JUNK), ("ukrtgb mmc ljpaaan u o xq", LN.JUNK), ("rna st pr ha c c an n p", LN.JUNK), ("Jom Jom Jom Jom", LN.JUNK), ("əgrɐb wortɐu ojsizkɐT dəutɐw əht", LN.JUNK), ("l= +t[~I:\\,^{I¦ /i/{•« 1+=.", LN.JUNK),
-])
-def test_line_kinds(text, kind):
-    assert LN.line_kind(text, COMMON) == kind
 
 
 def test_statistics(spark, words):
@@ -128,42 +127,63 @@ def test_statistics(spark, words):
     assert Q.text_statistics(df.where("false"), words).count() == 0
 
 
+def test_statistics_against_plain_python(spark, words):
+    common, df = set(Q.word_list(words)), spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in Q.text_statistics(df, words).collect()}
+    for r in df.collect():
+        lines = [x for x in (r["text"] or "").split("\n") if x.strip()]
+        w = [x for line in lines for x in regex.findall(r"\p{L}+", line)]
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["n_lines"]) == (len(w), len(lines))
+        if w:
+            want = (
+                sum(map(len, w)) / len(w), sum(x[-1] in ".,;:!?\"'" for x in map(str.rstrip, lines)) / len(lines), sum(x.lower() in common for x in w) / len(w),
+                sum(not any(x.lower() in common for x in regex.findall(r"\p{L}+", line)) for line in lines) / len(lines), sum(len(line.split()) for line in lines) / len(lines), sum(len(x) == 1 for x in w) / len(w),
+            )
+            assert np.allclose(want, [g[c] for c in ("mean_word_length", "line_end_share", "common_share", "bare_line_share", "tokens_per_line", "single_share")])
+
+
 def test_expectation_maximization_against_a_plain_one(spark, words):
     stats = Q.text_statistics(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), words).cache()
-    m = Q.fit_mixture(stats, k=4, rounds=5)
+    m = Q.fit_mixture(stats, k=3)
     pdf = stats.where("n_words > 0").toPandas()
     z = (pdf[list(Q.FEATURES)].to_numpy() - m.center) / m.scale
-    order = np.lexsort((pdf.doc_id.to_numpy(), [r["h"] for r in stats.where("n_words > 0").select("doc_id", F.xxhash64("doc_id").alias("h")).toPandas().to_dict("records")]))
-    means, w, var = Q._start(z[order], 4), np.full(4, 0.25), np.full((4, z.shape[1]), 0.5)
-    before = -np.inf
-    for _ in range(5):
-        logs = np.log(w) - 0.5 * (np.log(2 * np.pi * var).sum(1) + ((z[:, None] - means) ** 2 / var).sum(2))
-        top = logs.max(1, keepdims=True)
-        like = (top[:, 0] + np.log(np.exp(logs - top).sum(1))).mean()
-        p = np.exp(logs - top)
-        p /= p.sum(1, keepdims=True)
-        n = np.maximum(p.sum(0), 1e-9)
-        means = p.T @ z / n[:, None]
-        var, w = np.maximum(p.T @ (z * z) / n[:, None] - means**2, 0.02), n / n.sum()
-        if like - before < 1e-3:
-            break
-        before = like
-    assert np.allclose(m.means, means, atol=1e-6) and np.allclose(m.weights, w, atol=1e-9)
+    # One more round by plain sums: a fitted mixture hardly moves, and what it moves is this.
+    logs = np.array([[np.log(w) - 0.5 * ((r - mu) @ np.linalg.inv(c) @ (r - mu) + np.linalg.slogdet(2 * np.pi * c)[1]) for w, mu, c in zip(m.weights, m.means, covariances(m))] for r in z])
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    x = pdf[list(Q.FEATURES)].to_numpy()
+    assert np.allclose(m.posterior(x)[0], p, atol=1e-6)
+    total, like = m.sums(x)
+    assert np.allclose(total[:, 0], p.sum(0)) and np.allclose(total[:, 1 : 1 + z.shape[1]], p.T @ z) and np.allclose(total[0, 1 + z.shape[1] :].reshape(z.shape[1], -1), (p[:, 0, None] * z).T @ z)
+    assert m.updated(total).sums(x)[1] >= like - 1e-6 and m.updated(total).sums(x)[1] - like < 0.01 * len(x)
+
+
+def covariances(m):
+    lower = np.linalg.inv(m.whiten.transpose(0, 2, 1))
+    return lower @ lower.transpose(0, 2, 1)
 
 
 def test_pages_that_are_not_prose(spark, words):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, "= = ="), (-3, "\n".join(["1. Narrow pump"] * 9)), (-4, "The cat was at the door of the house.\n" * 8)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["kind"] for r in Q.classify(df.unionByName(extra), words).collect()}
     assert got[-1] == got[-2] == "junk" and got[-3] == "list" and got[-4] == "prose"
-    common = Q.word_list(words)
-    share = {r["doc_id"]: Q.page_statistics(r["text"], common) for r in df.collect()}
-    want = {i for i, s in share.items() if 2 * s[2] > s[1] or not s[0]}
+    common = frozenset(Q.word_list(words))
+    want = {r["doc_id"] for r in df.collect() if not_prose(r["text"], common)}
     found = {i for i, k in got.items() if k != "prose" and i > 0}
-    assert found <= want and len(want - found) <= 0.01 * len(want)
+    assert len(found & want) >= 0.95 * len(want) and len(found & want) >= 0.95 * len(found)
     assert Q.classify(df.where("false"), words).count() == 0
 
 
+def test_the_mixture_decides(spark, words, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before = {r["doc_id"] for r in Q.classify(df, words).where("kind != 'prose'").collect()}
+    monkeypatch.setattr(Q, "name_components", lambda model, common: ["prose"] * len(model.means))
+    after = {r["doc_id"] for r in Q.classify(df, words).where("kind != 'prose'").collect()}
+    assert after < before and all(not (r["text"] or "").strip() or not re.search(r"[^\W\d_]", r["text"]) for r in df.where(F.col("doc_id").isin(*after, -1)).collect())
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
