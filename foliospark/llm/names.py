@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.links import components, pairs_within, similar_pairs
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 # Given names and their short forms.
 NICKNAMES = {
@@ -140,23 +140,23 @@ def parse_name(text: str | None) -> tuple[str, str, str, str, str] | None:
             continue
         else:
             rest.append((w, i))
-    if given is None:
-        # A given name may have grown together with the word behind it.
-        for j, (w, i) in enumerate(rest):
+    if swapped:
+        rest = [x for x in rest if x[1] >= swapped] + [x for x in rest if x[1] < swapped]
+    if given is None and len(rest) > 1:
+        # A given name may have grown together with the word behind it: at the beginning of a name only, for last words begin with given names too.
+        for j, (w, i) in enumerate(rest[:1]):
             hit = next((g for g in sorted([*NICKNAMES, *(x for x in _NICK if len(x) > 3)], key=len, reverse=True) if len(w) > len(g) + 2 and w.startswith(g)), None)
             if hit:
                 given = _NICK.get(hit, hit)
                 rest[j] = (w[len(hit) :], i)
-                break
-    if swapped:
-        rest = [x for x in rest if x[1] >= swapped] + [x for x in rest if x[1] < swapped]
     solid = [fold(w) for w, _ in rest if len(w) > 1]
     letters = [w for w, _ in rest if len(w) == 1]
     if not solid:
         return None
     if given:
         return "person", given, "".join(letters)[:1], "".join(solid[:-1]), solid[-1]
-    if letters:
+    # Initials before or behind all words stand for the given name; between words they don't.
+    if letters and 1 in (len(rest[0][0]), len(rest[-1][0])):
         return "person", letters[0], "".join(letters[1:2]), "".join(solid[:-1]), solid[-1]
     return "other", "", "", "".join(solid[:-1]), solid[-1]
 
@@ -173,7 +173,7 @@ def name_forms(names: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=_PARSED)
 
-    return names.select("name").where("name is not null").distinct().mapInArrow(parse, "name string, kind string, head string, initials string, first string, last string")
+    return spread(names.select("name").where("name is not null").distinct(), "name").mapInArrow(parse, "name string, kind string, head string, initials string, first string, last string")
 
 
 def allowed_edits(length: int) -> int:
