@@ -17,7 +17,7 @@ from foliospark.llm.links import components, pairs_within, probes, segments, sim
 from foliospark.llm.names import edits, fold
 from foliospark.runtime import cut, spread
 
-# Kinds of streets, localities, units and states, with their abbreviations.
+# Kinds of streets, localities and units, with their abbreviations.
 STREET_TYPES = {
     "cross road": ("cross road", "x road", "cross rd", "x rd", "crs rd"), "road": ("road", "rd", "raod"), "street": ("street", "st", "str"), "lane": ("lane", "ln", "gali"),
     "marg": ("marg", "mg", "mrg"), "bazaar": ("bazaar", "bzr", "bazar", "bazzar"), "chowk": ("chowk", "chk", "chouk"), "avenue": ("avenue", "ave", "av", "avn"),
@@ -27,16 +27,10 @@ LOCALITY_TYPES = {
     "industrial area": ("industrial area", "indl area", "ind area"), "market yard": ("market yard", "mkt yd", "mkt yard", "market yd"), "ward": ("ward no", "ward", "w"),
 }
 UNIT_TYPES = {"shop": ("shop", "sh"), "flat": ("flat", "flt", "apt", "apartment"), "office": ("office", "ofc", "off"), "godown": ("godown", "gdn")}
-STATES = {
-    "sagarvali": "sgv", "chandrabad": "chb", "harivana": "hv", "jalpuram": "jlp", "purvanchal tal": "pvt", "kantipradesh": "ktp", "neelgarh": "ng", "dakhinsthan": "dks",
-    "uttarkhand desa": "ukd", "rudrakot": "rk", "vanabhumi": "vb", "marupatti": "mp",
-}
-LANDMARKS = ("clock tower", "grain market", "water tank", "railway gate", "old mill", "bus stand")
 PLACEHOLDERS = frozenset("na n/a nil none null unknown same sameasabove asabove ditto test xxx tbd notavailable notapplicable".split())
 
 _words = lambda table: {w.replace(" ", ""): t for t, ws in table.items() for w in ws}
 _STREET, _LOCALITY = _words(STREET_TYPES), _words(LOCALITY_TYPES)
-_STATE = {s.replace(" ", ""): s for s in STATES} | {a: s for s, a in STATES.items()}
 _UNIT = {w: t for t, ws in UNIT_TYPES.items() for w in ws}
 _PIN = re.compile(r"(?:\bpin\b\s*(?:code)?\s*[-:.]?\s*|-\s*)?(?<![\w/])(\d{3})\s?(\d{3})(?![\w/])")
 _LAND = re.compile(r"\b(?:near|nr|opp|opposite|behind|bhd|beside|adj|next to)\b\.?\s*(?:to\s+)?(?:the\s+)?(?:[a-z0-9]+\s+[a-z0-9]+)")
@@ -51,7 +45,7 @@ _DIGITS = str.maketrans("0134567895|$", "oleasgtbgsls")
 @lru_cache(maxsize=200_000)
 def _like(word: str, which: str) -> str | None:
     """The entry of a fixed table that ``word`` spells, or None."""
-    table = {"street": _STREET, "locality": _LOCALITY, "state": _STATE}[which]
+    table = {"street": _STREET, "locality": _LOCALITY}[which]
     if word in table:
         return table[word]
     if len(word) < 6:
@@ -61,10 +55,10 @@ def _like(word: str, which: str) -> str | None:
 
 
 def read_address(text: str | None) -> dict | None:
-    """The parts of an address: ``pin``, ``state``, ``unit``, ``number``, ``kind`` of street, ``words`` and ``alone``, or None for a place-holder.
+    """The parts of an address: ``pin``, ``unit``, ``number``, ``kind`` of street, ``parts`` and ``whole``, or None for a place-holder.
 
-    ``words`` are the own words, in order, of street and town, with (part, word); the locality's own word is left out, with what marks it.  ``alone`` are
-    those that are all of their part.
+    ``parts`` are the own words of street, town and region, in order, those between commas together; the locality's own word is left out, with what marks it.  ``whole`` are
+    the parts of one or two words that no kind of street stands beside.
     """
     if not text:
         return None
@@ -96,14 +90,12 @@ def read_address(text: str | None) -> dict | None:
             w = w if w.isdigit() else w.translate(_DIGITS)
             if not w.isdigit():
                 raw.append((part, w))
-    state, kind, words = "", "", []
+    kind, words = "", []
     i = 0
     while i < len(raw):
         part, w = raw[i]
         two = w + raw[i + 1][1] if i + 1 < len(raw) and raw[i + 1][0] == part else ""
-        if two and (found := _STATE.get(two) or (_like(two, "state") if len(two) > 11 else None)):
-            state, i = found, i + 2
-        elif two and two in _LOCALITY or two and len(two) > 8 and _like(two, "locality"):
+        if two and two in _LOCALITY or two and len(two) > 8 and _like(two, "locality"):
             if words and words[-1][0] == part:
                 words.pop()
             i += 2
@@ -118,17 +110,18 @@ def read_address(text: str | None) -> dict | None:
         elif found := _like(w, "street"):
             kind, i = found, i + 1
             words.append((part, ""))
-        elif (found := _like(w, "state")) and not (len(w) == 2 and i + 1 < len(raw) and raw[i + 1][0] == part and len(raw) > 3):
-            state, i = found, i + 1
         else:
             words.append((part, fold(w)))
             i += 1
-    parts = [p for p, _ in words]
-    alone = [w for p, w in words if w and parts.count(p) == 1]
-    return {"pin": pin, "state": state, "unit": "+".join(sorted(units)), "number": number, "kind": kind, "words": words, "alone": alone}
+    marked, parts = {p for p, w in words if not w}, {}
+    for p, w in words:
+        if w:
+            parts.setdefault(p, []).append(w)
+    whole = [" ".join(ws) for p, ws in parts.items() if p not in marked and len(ws) < 3]
+    return {"pin": pin, "unit": "+".join(sorted(units)), "number": number, "kind": kind, "parts": [" ".join(ws) for ws in parts.values()], "whole": whole}
 
 
-_READ = pa.schema([("address", pa.string()), ("pin3", pa.string()), ("unit", pa.string()), ("number", pa.string()), ("words", pa.list_(pa.string())), ("alone", pa.list_(pa.string()))])
+_READ = pa.schema([("address", pa.string()), ("pin3", pa.string()), ("unit", pa.string()), ("number", pa.string()), ("parts", pa.list_(pa.string())), ("whole", pa.list_(pa.string()))])
 _PLACED = pa.schema([("address", pa.string()), ("unit", pa.string()), ("number", pa.string()), ("area", pa.string()), ("spelling", pa.string())])
 
 
@@ -137,7 +130,7 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for a in b.column(0).to_pylist():
             if (p := read_address(a)) and (p["number"] or p["unit"]):
-                rows.append((a, p["pin"][:3], p["unit"], p["number"], [w for _, w in p["words"]], p["alone"]))
+                rows.append((a, p["pin"][:3], p["unit"], p["number"], p["parts"], p["whole"]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)
 
@@ -216,15 +209,67 @@ def resolve(words: list[str], gazetteer: Gazetteer, width: int = 8) -> int | Non
     return None if len(best) > 1 and best[1][1] - best[0][1] < 1e-6 else best[0][0]
 
 
-def towns_of(read: DataFrame) -> dict[str, str]:
-    """The town of each postal prefix: the word that most often is a part of an address by itself.  At most a thousand prefixes of three digits."""
-    counted = read.where("pin3 != ''").select("pin3", F.explode(F.array_distinct("alone")).alias("w")).where("length(w) > 4").groupBy("pin3", "w").count()
-    top = counted.groupBy("pin3").agg(F.max_by("w", F.struct("count", "w")).alias("town"), F.max("count").alias("n"))
-    sizes = read.where("pin3 != ''").groupBy("pin3").count()
-    return {r[0]: r[1] for r in top.join(sizes, "pin3").where("n * 8 >= count").select("pin3", "town").collect()}
+#: Postal prefixes in which a part must recur, and the least share of a prefix's addresses, to be a region's name.
+REGION_PREFIXES, REGION_SHARE = 3, 0.02
+
+
+def _recurring(read: DataFrame) -> DataFrame:
+    """``pin3, w, n, of``: how many of the addresses of a postal prefix have ``w`` as a whole part."""
+    known = read.where("pin3 != ''")
+    counted = known.select("pin3", F.explode(F.array_distinct("whole")).alias("w")).groupBy("pin3", "w").agg(F.count("*").alias("n"))
+    return counted.join(known.groupBy("pin3").agg(F.count("*").alias("of")), "pin3")
 
 
-def place(read: DataFrame, towns: dict[str, str]) -> DataFrame:
+def regions_of(read: DataFrame) -> frozenset[str]:
+    """Names of regions, abbreviated or not: whole parts that recur in several postal prefixes, where a town has one.
+
+    At most 50 parts of each of a thousand prefixes have the share that is asked for.
+    """
+    often = _recurring(read).where(f"n > 1 and n >= {REGION_SHARE} * of")
+    return frozenset(r[0] for r in often.groupBy("w").agg(F.count("*").alias("prefixes")).where(f"prefixes >= {REGION_PREFIXES}").select("w").collect())
+
+
+def towns_of(read: DataFrame, regions: frozenset[str] = frozenset()) -> dict[str, str]:
+    """The town of each postal prefix: the word that most often is a part of an address by itself and no region.  At most a thousand prefixes of three digits."""
+    own = _recurring(read).where("length(w) > 4 and w not like '% %' and n * 8 >= of")
+    own = own.where(~F.col("w").isin(*sorted(regions))) if regions else own
+    return {r[0]: r[1] for r in own.groupBy("pin3").agg(F.max_by("w", F.struct("n", "w")).alias("town")).select("pin3", "town").collect()}
+
+
+class Regions:
+    """Takes the names of regions out of a part's words, misspelt ones too; a short form counts only at a part's end."""
+
+    def __init__(self, names: frozenset[str]) -> None:
+        self.names, self.long = names, sorted(n for n in names if len(n) > 5)
+        self.known: dict[str, bool] = {}
+
+    def like(self, w: str) -> bool:
+        if w in self.names:
+            return True
+        if len(w) < 6:
+            return False
+        if w not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            near = min(((edits(w, n, 2), n) for n in self.long), default=(9, ""))
+            self.known[w] = near[0] <= (1 if len(near[1]) < 8 else 2)
+        return self.known[w]
+
+    def without(self, part: str) -> list[str]:
+        ws, out, i = part.split(" "), [], 0
+        while i < len(ws):
+            two = " ".join(ws[i : i + 2])
+            if i + 1 < len(ws) and (two in self.names or len(two) > 11 and self.like(two)):
+                i += 2
+            elif self.like(ws[i]) and (len(ws[i]) > 3 or i == len(ws) - 1):
+                i += 1
+            else:
+                out.append(ws[i])
+                i += 1
+        return out
+
+
+def place(read: DataFrame, towns: dict[str, str], regions: frozenset[str] = frozenset()) -> DataFrame:
     """``address, unit, number, area, spelling``: the town's prefix, and the words that are left for the street."""
     by_name: dict[str, str] = {}
     for pin3, town in sorted(towns.items(), reverse=True):
@@ -232,6 +277,7 @@ def place(read: DataFrame, towns: dict[str, str]) -> DataFrame:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}
+        region = Regions(regions)
 
         def town_like(w: str) -> str | None:
             if w not in known:
@@ -244,8 +290,8 @@ def place(read: DataFrame, towns: dict[str, str]) -> DataFrame:
 
         for b in batches:
             rows = []
-            for address, pin3, unit, number, words in zip(*(c.to_pylist() for c in b.columns[:5])):
-                own = [w for w in words if w]
+            for address, pin3, unit, number, parts in zip(*(c.to_pylist() for c in b.columns[:5])):
+                own = [w for part in parts for w in region.without(part)]
                 town = next((w for w in own if w in by_name), None)
                 area = ""
                 if town:
@@ -286,14 +332,15 @@ def build_gazetteer(spellings: DataFrame) -> DataFrame:
 def link_addresses(entities: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """``entity_id, premises``: cards whose addresses mean one house, plot or unit share ``premises``.
 
-    Addresses are read to number, unit, postal code and own words.  Street spellings are clustered within each town into a gazetteer with street
+    Addresses are read to number, unit, postal code and own words.  Names of towns and regions are found in the addresses themselves, by postal prefix.  Street spellings are clustered within each town into a gazetteer with street
     identifiers; every address is resolved by beam search over its town's entries, or where it names no town over the one street of its name; premises are
     street, number and unit.  Null, empty and place-holder addresses, those without any number, and null ids give no row.  A repeated id counts once, with
     its smallest address.  Very long addresses are read whole.  A town's spellings are resolved in blocks of about ``block_rows``.
     """
     cards = cut(entities.where("entity_id is not null and entity_address is not null").groupBy(F.col("entity_id").cast("bigint").alias("entity_id")).agg(F.min("entity_address").alias("address")))
-    read = cut(cards.select("address").distinct().mapInArrow(_read_all, "address string, pin3 string, unit string, number string, words array<string>, alone array<string>"))
-    placed = cut(place(read, towns_of(read)))
+    read = cut(spread(cards.select("address").distinct(), "address").mapInArrow(_read_all, "address string, pin3 string, unit string, number string, parts array<string>, whole array<string>"))
+    regions = regions_of(read)
+    placed = cut(place(read, towns_of(read, regions), regions))
     spellings = cut(placed.where("spelling != ''").groupBy("area", "spelling").agg(F.count("*").alias("n")))
     gazetteer = cut(build_gazetteer(spellings))
     # An area's blocks share its streets.
