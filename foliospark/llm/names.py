@@ -66,15 +66,21 @@ def edits(a: str, b: str, most: int) -> int:
     return min(last[len(b)], most + 1)
 
 
+_KNOWN = {"given": {**{g: g for g in NICKNAMES}, **_NICK}, "trade": _TRADE, "tail": {w: w for w in TRADE_TAILS}, "form": {w: w for w in FORMS}, "title": {w: w for w in TITLES}}
+_LONG = {which: [(w, frozenset(w)) for w in known if len(w) >= 5] for which, known in _KNOWN.items()}
+
+
 @lru_cache(maxsize=200_000)
 def _closest(word: str, which: str) -> str | None:
     """The given name or line of business that ``word`` spells, or None."""
-    known = {"given": {**{g: g for g in NICKNAMES}, **_NICK}, "trade": _TRADE, "tail": {w: w for w in TRADE_TAILS}, "form": {w: w for w in FORMS}, "title": {w: w for w in TITLES}}[which]
+    known = _KNOWN[which]
     if word in known:
         return known[word]
     if len(word) < (4 if which == "given" else 5):
         return None
-    best = min(((edits(word, w, 2), w) for w in known if len(w) >= 5), default=(9, ""))
+    # An edit changes at most two of the letters that words are made of.
+    letters = frozenset(word)
+    best = min(((edits(word, w, 2), w) for w, own in _LONG[which] if abs(len(w) - len(word)) < 3 and len(letters ^ own) < 5), default=(9, ""))
     return known[best[1]] if best[0] <= (1 if len(best[1]) < 7 or len(word) < 6 else 2) else None
 
 
