@@ -120,7 +120,8 @@ def tax_validation(spark: SparkSession, d: str) -> DataFrame:
     return p.select("upload_id", *(F.array_contains(codes, c.upper()).alias(c) for c in ("bad_gstin", "taxable_mismatch", "tax_mismatch")))
 
 
-@query(f"""select line_id, case when n > 0 and t <> 0 and coalesce(p, 0) = 0 then cast(round(t / n, 2) as decimal(18,2)) when swap then t else p end as price, case when swap then p else t end as taxable from (
+# Hundredths are divided as whole numbers: as doubles some halves would be rounded down.
+@query(f"""select line_id, case when n > 0 and t <> 0 and coalesce(p, 0) = 0 then cast(sign(t) * ((2 * abs(cast(t * 100 as bigint)) + n) // (2 * n)) * cast(0.01 as decimal(3,2)) as decimal(18,2)) when swap then t else p end as price, case when swap then p else t end as taxable from (
 select *, coalesce(n > 0 and t <> 0 and p <> 0 and not abs(cast(p * n - t as double)) / (cast(t as double) + 1e-6) < 0.05 and p > 2 * t, false) as swap from (
 select line_id, cast(unit_price as decimal(18,2)) as p, cast(net_amount as decimal(18,2)) as t, try_cast(nullif(regexp_extract(qty_value, '([0-9]+)', 1), '') as int) as n from {once_sql("line_items", "line_id", "unit_price", "net_amount", "qty_value")}))""")
 def fix_unit_tax(spark: SparkSession, d: str) -> DataFrame:
@@ -493,7 +494,7 @@ def header_blocks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""with {WRITTEN_SQL} select line_id, cast(1 as int) as "slNo", case when line_id % 2 = 1 then article when length(article) between 4 and 29 then upper(article) else upper(substr(article, 1, 4)) end as description, pieces || ' KG' as quantity, price as rate, 'KG' as per, cast(cast(pieces as decimal(18,2)) * price as decimal(18,2)) as "taxableValue",
+@query(f"""with {WRITTEN_SQL} select line_id, cast(1 as int) as "slNo", case when line_id % 2 = 1 then article when length(article) between 4 and 29 then upper(article) else upper(substr(article, 1, 4)) end as description, cast(pieces as int) || ' KG' as quantity, price as rate, 'KG' as per, cast(cast(pieces as decimal(18,2)) * price as decimal(18,2)) as "taxableValue",
 code as hsn, cast(9 as decimal(9,2)) as "cgstRate", cast(9 as decimal(9,2)) as "sgstRate" from written""")
 def item_views(spark: SparkSession, d: str) -> DataFrame:
     """Items as other systems expect them; a page's text in capitals that holds the description is the better one."""
