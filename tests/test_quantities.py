@@ -133,3 +133,28 @@ def test_history_has_the_recorded_numbers(spark, tmp_path):
     spark.read.parquet(UNITS).write.parquet(str(tmp_path / "unit_codes.parquet"))
     got = {r["first_at"]: r["level"] for r in p5_unit_shifts(spark, str(tmp_path)).collect()}
     assert got == {i: pytest.approx(np.log(want)) for i, (_, _, want) in enumerate(rows) if want}
+
+
+def test_planted_unit_changes(spark):
+    """Of 120 histories half change their unit for a while: what is marked is what was planted, whatever the partitions."""
+    rng = np.random.default_rng(7)
+    rows, planted = [], set()
+    for s in range(120):
+        level, n = rng.uniform(0, 6), 200
+        begin = int(rng.integers(20, 120))
+        for i in range(n):
+            changed = s % 2 == 0 and begin <= i < begin + 60
+            rows.append((f"s{s}", i, float(np.exp(level + rng.normal(0, 0.5)) * (1000.0 if changed else 1.0))))
+            if changed:
+                planted.add((f"s{s}", i))
+    df = spark.createDataFrame(rows, "source string, at bigint, value double")
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("1", "3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        seen.append(sorted(tuple(r) for r in unit_shifts(df.repartition(int(partitions)), [1000.0]).select("source", "segment", "first_at", "last_at", "unit_change").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+    marked = {(s, i) for s, _, a, b, change in seen[0] if change for i in range(a, b + 1)}
+    assert len(marked & planted) >= 0.98 * len(planted) and len(marked & planted) >= 0.98 * len(marked)
+    print("recall", len(marked & planted) / len(planted), "precision", len(marked & planted) / len(marked))
