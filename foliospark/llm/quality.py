@@ -57,6 +57,7 @@ EXAMPLES = {
         "xkq zvwt bgh qjz\nwrtk pv zzx kqt hgfd\nqwv bnmx tkz zk",
         "rna st pr ha c c an n p\npa cti gh nd ar iele pa rri\nr d e t og l us ch res",
         "Holm Holm Holm Holm\nHolm Holm Holm\nHolm Holm Holm Holm Holm",
+        "and and and und and\nand and  and amd\nand andand and and and",
         "pɹɐʍɹoɟ ǝɥʇ ɟo ʇno\nsɐʍ ʇı ʇɐɥʇ pɐǝɹ\nʎɐp ɹǝɥʇouɐ uo",
         "{[~ |<°, :[_>'\n=+/ ;`!> ]<.\n'(`)I. ^<:",
     ),
@@ -130,7 +131,8 @@ class Mixture:
 
     def __init__(self, center: np.ndarray, scale: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> None:
         self.center, self.scale, self.weights, self.means = center, scale, weights, means
-        lower = np.linalg.cholesky(covariances + FLOOR * np.eye(len(center)))
+        self.covariances = covariances + FLOOR * np.eye(len(center))
+        lower = np.linalg.cholesky(self.covariances)
         self.whiten = np.linalg.inv(lower).transpose(0, 2, 1)
         self.log_scale = -np.log(np.diagonal(lower, axis1=1, axis2=2)).sum(1) - 0.5 * len(center) * np.log(2 * np.pi)
 
@@ -224,10 +226,15 @@ def _climb(model: Mixture, sums, n: int, tolerance: float) -> Mixture:  # noqa:
 
 
 def name_components(model: Mixture, common: list[str]) -> list[str]:
-    """The kind of each component: that of the inspected example that is most likely under it."""
-    kinds = [k for k, texts in EXAMPLES.items() for _ in texts]
+    """The kind of each component: that of the inspected example nearest to its mean, by the covariance that pages have within components on average.
+
+    Under a component's own covariance the likeliest example could be a far one: all examples lie in the tails of a broad component, and which is likeliest there says little.
+    """
+    kinds = np.array([k for k, texts in EXAMPLES.items() for _ in texts])
     found = measure_texts(pa.array([t for texts in EXAMPLES.values() for t in texts]), pa.array(common, pa.string()))
-    return [kinds[i] for i in model.log_density(np.column_stack(found[2:])).argmax(0)]
+    within = np.linalg.inv(np.linalg.cholesky(np.einsum("k,kij->ij", model.weights, model.covariances))).T
+    examples, means = (np.column_stack(found[2:]) - model.center) / model.scale @ within, model.means @ within
+    return kinds[((means[:, None] - examples) ** 2).sum(2).argmin(1)].tolist()
 
 
 KINDS = ("prose", "list", "table", "junk")
