@@ -32,7 +32,7 @@ PLACEHOLDERS = frozenset("na n/a nil none null unknown same sameasabove asabove
 _words = lambda table: {w.replace(" ", ""): t for t, ws in table.items() for w in ws}
 _STREET, _LOCALITY = _words(STREET_TYPES), _words(LOCALITY_TYPES)
 _UNIT = {w: t for t, ws in UNIT_TYPES.items() for w in ws}
-_PIN = re.compile(r"(?:\bpin\b\s*(?:code)?\s*[-:.]?\s*|-\s*)?(?<![\w/])(\d{3})\s?(\d{3})(?![\w/])")
+_PIN = re.compile(r"(?:\bpin\b\s*(?:code)?\s*[-:.]?\s*|-\s*)?(?<![\w/])([1-9]\d{2})\s?(\d{3})(?![\w/])")
 _LAND = re.compile(r"\b(?:near|nr|opp|opposite|behind|bhd|beside|adj|next to)\b\.?\s*(?:to\s+)?(?:the\s+)?(?:[a-z0-9]+\s+[a-z0-9]+)")
 _UNITS = re.compile(rf"\b({'|'.join(_UNIT)})\b[.\s]*(?:no\b)?[.\s#:]*([a-z]{{0,2}}-?\d+[a-z]?)\b")
 _HOUSE = r"\d+[a-z]{0,2}(?:\s?[/-]\s?\d+[a-z]{0,2})?"
@@ -54,6 +54,19 @@ def _like(word: str, which: str) -> str | None:
     return table[best[1]] if best[0] <= (1 if len(best[1]) < 8 else 2) else None
 
 
+def _find_pin(t: str) -> re.Match | None:
+    """The last postal code in ``t``.
+
+    Of three groups of three digits the first is a house's number and the others the code, but where the address or ``pin`` opens with them.
+    """
+    if not (hits := list(_PIN.finditer(t))):
+        return None
+    m = hits[-1]
+    opens = not t[: m.start()].strip(" ,") or "pin" in t[m.start() : m.start(1)]
+    later = None if opens else _PIN.search(t, m.start(2))
+    return later or m
+
+
 def read_address(text: str | None) -> dict | None:
     """The parts of an address: ``pin``, ``unit``, ``number``, ``kind`` of street, ``parts`` and ``whole``, or None for a place-holder.
 
@@ -68,8 +81,7 @@ def read_address(text: str | None) -> dict | None:
     t = re.sub(r"[\n\r;|,]+|\s-\s|\s-(?=\s*\d{3}\s?\d{3}\b)|^-|\s-$", " , ", t)
     t = re.sub(r"\s+", " ", t)
     pin = ""
-    if hits := list(_PIN.finditer(t)):
-        m = hits[-1]
+    if m := _find_pin(t):
         pin, t = m[1] + m[2], t[: m.start()] + " , " + t[m.end() :]
     t = re.sub(r"\bpin\b\s*(?:code)?\s*[-:.]*", " ", t)
     t = _LAND.sub(" , ", t)
@@ -211,29 +223,38 @@ def resolve(words: list[str], gazetteer: Gazetteer, width: int = 8) -> int | Non
 
 #: Postal prefixes in which a part must recur, and the least share of a prefix's addresses, to be a region's name.
 REGION_PREFIXES, REGION_SHARE = 3, 0.02
+#: A prefix in which a town has less than this share of what it has in another is that one misread.
+MISREAD_SHARE = 0.05
 
 
 def _recurring(read: DataFrame) -> DataFrame:
-    """``pin3, w, n, of``: how many of the addresses of a postal prefix have ``w`` as a whole part."""
+    """``pin3, w, n, of, most``: how many of the addresses of a postal prefix have ``w`` as a whole part, and of the prefix that has most of them."""
     known = read.where("pin3 != ''")
     counted = known.select("pin3", F.explode(F.array_distinct("whole")).alias("w")).groupBy("pin3", "w").agg(F.count("*").alias("n"))
-    return counted.join(known.groupBy("pin3").agg(F.count("*").alias("of")), "pin3")
+    return counted.join(known.groupBy("pin3").agg(F.count("*").alias("of")), "pin3").join(counted.groupBy("w").agg(F.max("n").alias("most")), "w")
 
 
 def regions_of(read: DataFrame) -> frozenset[str]:
     """Names of regions, abbreviated or not: whole parts that recur in several postal prefixes, where a town has one.
 
+    A prefix counts if some part of an eighth of its addresses is at home there, so that prefixes misread make no region of a town.
     At most 50 parts of each of a thousand prefixes have the share that is asked for.
     """
-    often = _recurring(read).where(f"n > 1 and n >= {REGION_SHARE} * of")
+    found = cut(_recurring(read).where("n > 1"))
+    sound = found.where(f"n * 8 >= of and n >= {MISREAD_SHARE} * most").select("pin3").distinct()
+    often = found.where(f"n >= {REGION_SHARE} * of").join(sound, "pin3")
     return frozenset(r[0] for r in often.groupBy("w").agg(F.count("*").alias("prefixes")).where(f"prefixes >= {REGION_PREFIXES}").select("w").collect())
 
 
 def towns_of(read: DataFrame, regions: frozenset[str] = frozenset()) -> dict[str, str]:
-    """The town of each postal prefix: the word that most often is a part of an address by itself and no region.  At most a thousand prefixes of three digits."""
+    """The town of each postal prefix: the word that most often is a part of an address by itself and no region.  At most a thousand prefixes of three digits.
+
+    The prefixes that have most of their town come first.  Prefixes that are misread ones of a town's own have none.
+    """
     own = _recurring(read).where("length(w) > 4 and w not like '% %' and n * 8 >= of")
     own = own.where(~F.col("w").isin(*sorted(regions))) if regions else own
-    return {r[0]: r[1] for r in own.groupBy("pin3").agg(F.max_by("w", F.struct("n", "w")).alias("town")).select("pin3", "town").collect()}
+    best = own.groupBy("pin3").agg(F.max(F.struct("n", "w", "most")).alias("x")).where(f"x.n >= {MISREAD_SHARE} * x.most").select("pin3", "x.n", "x.w").collect()
+    return {r["pin3"]: r["w"] for r in sorted(best, key=lambda r: (-r["n"], r["pin3"]))}
 
 
 class Regions:
@@ -272,8 +293,8 @@ class Regions:
 def place(read: DataFrame, towns: dict[str, str], regions: frozenset[str] = frozenset()) -> DataFrame:
     """``address, unit, number, area, spelling``: the town's prefix, and the words that are left for the street."""
     by_name: dict[str, str] = {}
-    for pin3, town in sorted(towns.items(), reverse=True):
-        by_name[town] = pin3
+    for pin3, town in towns.items():
+        by_name.setdefault(town, pin3)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}

@@ -155,3 +155,24 @@ def test_regions_and_towns_come_from_the_addresses(spark):
     got = {tuple(r) for r in AD.same_addresses(df).collect()}
     n = len(rows)
     assert {(0, n), (0, n + 1), (0, n + 2)} <= got and not any(a < n and b < n for a, b in got)
+
+
+@pytest.mark.parametrize("text,pin,number", [
+    ("Vimgesgarh Taljuzul Bzr H.No. 372 686 006", "686006", "372"), ("F. Hitakba Mrg Plot 224 689 143 Nazotabad", "689143", "224"), ("689 143 224 Hitakba Street, Nazotabad", "689143", "224"),
+    ("Hitakba Street 12, PIN 689 143 224", "689143", "12"), ("225, Hitakba Street - 461 013", "461013", "225"), ("758068,Mitzegarh,Laltu Gali, D.No 226/29", "758068", "226/29"),
+])
+def test_a_number_before_a_spaced_code(text, pin, number):
+    p = AD.read_address(text)
+    assert (p["pin"], p["number"]) == (pin, number)
+
+
+def test_misread_codes_move_no_town(spark):
+    """A town is where most of its addresses are, though some have codes misread to other prefixes; and it is no region for that."""
+    street = [f"{i}, Zelbet Tirbumak Marg, Zuzekgaon, 4250{i}" for i in range(10, 75)]
+    odd = [f"{i}, Rimok Salvetun Marg, Zuzekgaon, {p}0{i}" for p in ("125", "225", "326") for i in (10, 11)]
+    ask = ["20, Zelbet Tirbumka Marg, Zuzekgaon", "21, Zelbet Tirbumka Marg, Zuzekgaon, 125021"]
+    df = cards(spark, street + odd + ask, "entity_address")
+    read = df.select(F.col("entity_address").alias("address")).mapInArrow(AD._read_all, "address string, pin3 string, unit string, number string, parts array<string>, whole array<string>")
+    assert AD.regions_of(read) == frozenset() and AD.towns_of(read) == {"425": AD.fold("zuzekgaon")}
+    n = len(street + odd)
+    assert {tuple(r) for r in AD.same_addresses(df).where(f"entity_id_b >= {n}").collect()} == {(10, n), (11, n + 1)}
